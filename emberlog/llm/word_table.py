@@ -43,14 +43,14 @@ class ChunkTable:
         return self.known
 
 
-_tables: dict[tuple, ChunkTable] = {}
+_tables: dict[tuple, tuple[str, object]] = {}
 
 
-def worker_table(key: tuple, make: Callable[[], ChunkTable]) -> ChunkTable:
-    """One table a worker process, kept from task to task."""
-    if key not in _tables:
-        _tables[key] = make()
-    return _tables[key]
+def worker_table(key: tuple, make: Callable[[], object], version: str = ""):
+    """One object a worker process for each key, kept from task to task; another version replaces it."""
+    if key not in _tables or _tables[key][0] != version:
+        _tables[key] = (version, make())
+    return _tables[key][1]
 
 
 def json_tokenizer_table(path: str) -> ChunkTable:
