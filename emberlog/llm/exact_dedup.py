@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import filesystem, scratch, written
-from .word_table import slices
+from .word_table import byte_slices
 
 #: Bytes of text in one table, in a scan task and in a bucket.
 TABLE_BYTES = 48_000_000
@@ -94,7 +94,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to = min(at + 512, len(table.texts))
             yield pa.record_batch([pa.nulls(to - at, pa.int64()), pa.array(shas[at:to], pa.binary()), pa.array(range(base + n_entries + at, base + n_entries + to), pa.int64()), pa.array(counts[at:to], pa.int64()), pa.array(least[at:to], pa.int64()), pa.array(table.texts[at:to], pa.binary())], schema=ROWS)
 
-    for ids, texts in slices(batches):
+    for ids, texts in byte_slices(batches):
         out_sha, out_entry = [], []
         for doc_id, text in zip(ids, texts, strict=True):
             text = normalise(text)
@@ -189,7 +189,7 @@ def grace(records: Iterator[tuple], folder: str, limit: int = TABLE_BYTES, depth
 def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = written(texts.mapInArrow(_scan, "doc_id long, sha binary, entry long, n long, least long, text binary"), "exact-entries")
     folder = scratch(spark, "exact-spill")
 

@@ -20,6 +20,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -115,11 +116,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 33
-        held: list[tuple[object, bytes]] = []
+        held: list[tuple[object, np.ndarray]] = []
         size = 0
-        for doc_id, raw in encoded(batches, tokenizer_path, end_id):
-            held.append((doc_id, raw))
-            size += len(raw) // 4
+        for doc_id, ids in encoded(batches, tokenizer_path, end_id):
+            held.append((doc_id, ids))
+            size += len(ids)
             if size >= window_tokens:
                 n, out = window(held, sequence)
                 yield from out
@@ -127,9 +128,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
         if held:
             yield from window(held, sequence)[1]
 
-    def window(held: list[tuple[object, bytes]], base: int) -> tuple[int, list[pa.RecordBatch]]:
-        n, pieces = plan([len(raw) // 4 for _, raw in held], capacity, linear)
-        rows = [(held[k][0], at, here, zlib.crc32(memoryview(held[k][1])[4 * at : 4 * (at + here)]), len(held[k][1]) // 4, base + s, offset) for k, at, here, s, offset in pieces]
+    def window(held: list[tuple[object, np.ndarray]], base: int) -> tuple[int, list[pa.RecordBatch]]:
+        n, pieces = plan([len(ids) for _, ids in held], capacity, linear)
+        rows = [(held[k][0], at, here, zlib.crc32(held[k][1][at : at + here]), len(held[k][1]), base + s, offset) for k, at, here, s, offset in pieces]
         return n, [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_ARROW)]
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -17,15 +17,16 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .word_table import ChunkTable, slices, worker_table
+from .word_table import ChunkTable, Words, coded, drop_texts, slices, split_at, worker_table
 
 MARK = "▁"
-_MARK = MARK.encode()
-_MARKED = re.compile(rb" *[^ ]+| +")
+_MARKED = re.compile(" *[^ ]+| +")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
@@ -45,25 +46,39 @@ class PieceTable:
         self.lone = self.model.piece_to_id(MARK)
         self.ids = ChunkTable(self._segment)
 
-    def chunks(self, text: bytes) -> list[bytes]:
-        """Marked words, each without its first marker, which encoding adds again."""
-        if not text:
-            return []
+    def chunks(self, texts: pa.StringArray) -> Words:
+        """Marked words, each without its first marker, which encoding adds again; texts hold no other form of the marker."""
         if self.whole:
-            return [text]
-        if text[0] != 32 and text[-1] != 32 and b"  " not in text:
-            return text.split(b" ")
-        return [c[1:] for c in _MARKED.findall(b" " + text)]
-
-    def _segment(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
-        found = self.model.encode([c.decode("utf-8") for c in chunks], num_threads=1)
+            found = texts.dictionary_encode()
+            lengths = (pc.binary_length(texts).to_numpy() > 0).astype(np.int64)
+            return Words(found.dictionary, found.indices.to_numpy()[lengths > 0], np.r_[0, np.cumsum(lengths)])
+        odd = pc.match_substring_regex(texts, "^ | $|  ")
+        if not pc.any(odd).as_py():
+            return drop_texts(split_at(texts, " "), pc.equal(texts, ""))
+        # runs of spaces: the first marks the word, the others stay in it
+        lists = [_spaced(t) if o else t.split(" ") if t else [] for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
+        return coded(pa.array(lists, pa.list_(pa.string())), drop_empty=False)
+
+    def _segment(self, chunks: list[str]) -> list[tuple[bytes, str, int]]:
+        found = self.model.encode(chunks, num_threads=1)
         found = [ids if c else [self.lone] for c, ids in zip(chunks, found, strict=True)]
         texts = self.model.decode(found)
-        out = []
-        for c, ids, text in zip(chunks, found, texts, strict=True):
-            raw = text.encode("utf-8")
-            out.append((" ".join(map(str, ids)).encode(), c if raw == c else raw, len(ids)))
-        return out
+        return [(" ".join(map(str, ids)).encode(), c if text == c else text, len(ids)) for c, ids, text in zip(chunks, found, texts, strict=True)]
+
+    def joined(self, texts: pa.StringArray) -> Iterator[tuple[int, bytes, str]]:
+        """Per text: the number of its ids, the ids in decimal, the decoded text."""
+        words = self.chunks(pc.replace_substring(texts, MARK, " "))
+        values = self.ids.lookup(words.distinct.to_pylist())
+        counts = words.sums(np.fromiter((v[2] for v in values), np.int64, len(values))).tolist()
+        decimal, decoded = [v[0] for v in values], [v[1] for v in values]
+        codes, offsets = words.codes.tolist(), words.offsets.tolist()
+        for n, a, b in zip(counts, offsets[:-1], offsets[1:], strict=True):
+            own = codes[a:b]
+            yield n, b" ".join(map(decimal.__getitem__, own)), " ".join(map(decoded.__getitem__, own))
+
+
+def _spaced(text: str) -> list[str]:
+    return [c[1:] for c in _MARKED.findall(" " + text)]
 
 
 def encode_documents(docs: DataFrame, model_path: str, end_id: int = 2) -> DataFrame:
@@ -72,24 +87,15 @@ def encode_documents(docs: DataFrame, model_path: str, end_id: int = 2) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_table(("piece", model_path), lambda: PieceTable(model_path))
-        for ids, texts in slices(batches):
-            chunked = [table.chunks(t.replace(_MARK, b" ")) for t in texts]
-            known = table.ids.lookup(chunked)
-            rows = []
-            for doc_id, chunks in zip(ids, chunked, strict=True):
-                found = list(map(known.__getitem__, chunks))
-                joined = b" ".join([*(f[0] for f in found), end])
-                decoded = b" ".join([f[1] for f in found])
-                rows.append((doc_id, sum([f[2] for f in found]) + 1, hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
+        for part in slices(batches):
+            rows = [(n + 1, hashlib.sha256(b"%s %s" % (ids, end) if n else end).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()) for n, ids, text in table.joined(part.column(1))]
+            yield pa.record_batch([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types[1:], strict=True))], schema=SCHEMA)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_text(text: str, model_path: str, end_id: int = 2) -> tuple[list[int], str]:
     """(ids with the end id, decoded text) of one text through the same table."""
     table = worker_table(("piece", model_path), lambda: PieceTable(model_path))
-    chunks = table.chunks(text.replace(MARK, " ").encode("utf-8"))
-    known = table.ids.lookup([chunks])
-    ids = [int(i) for c in chunks for i in known[c][0].split()]
-    return [*ids, end_id], b" ".join(known[c][1] for c in chunks).decode("utf-8")
+    _, ids, decoded = next(table.joined(pa.array([text], pa.string())))
+    return [*map(int, ids.split()), end_id], decoded

@@ -19,12 +19,14 @@ import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .word_table import ChunkTable, slices, worker_table
+from .word_table import ChunkTable, Runs, slices, split_words, worker_table
 
 LIMIT = 2048
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -62,7 +64,7 @@ class MergeCounter:
         self.ended = [names.get(c + self.end, -1) for c in self.bytes]
         special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.words = ChunkTable(lambda words: [self.merge(w) for w in words])
+        self.cores, self.whole = ChunkTable(self._count_cores), ChunkTable(self._count_whole)
 
     def merge(self, word: bytes) -> int:
         """Symbols of ``word`` less merges."""
@@ -99,30 +101,34 @@ class MergeCounter:
                 heappush(heap, (found >> 20) << 32 | back)
         return left
 
-    def count_chunks(self, chunks: list[bytes]) -> list[int]:
-        """Tokens of chunks without white space: normalise, part by the pattern, merge each distinct word once."""
-        plain, total = [], []
-        for chunk in chunks:
-            text = chunk.decode("utf-8")
-            own = 0
-            if self.special is not None and "<" in text:
-                own = len(self.special.findall(text))
-                pieces = self.special.split(text) if own else [text]
-            else:
-                pieces = [text]
-            words: list[bytes] = []
-            for piece in pieces:
-                if not piece.isascii():
-                    piece = unicodedata.normalize("NFC", piece)
-                lowered = "".join(map(str.lower, piece)) if not piece.isascii() else piece.lower()
-                if lowered.isascii() and lowered.isalpha():
-                    words.append(lowered.encode())
-                else:
-                    words += [w.encode("utf-8") for w in self.pattern.findall(lowered)]
-            plain.append(words)
-            total.append(own)
-        known = self.words.lookup(plain)
-        return [own + sum([known[w] for w in words]) for own, words in zip(total, plain, strict=True)]
+    def _count_cores(self, cores: list[str]) -> list[int]:
+        return [self.merge(c.encode("utf-8")) for c in cores]
+
+    def _count_whole(self, chunks: list[str]) -> list[int]:
+        """Chunks of any kind: special strings, then normalise, part by the pattern and merge each word."""
+        return [self._count_one(c) for c in chunks]
+
+    def _count_one(self, text: str) -> int:
+        pieces, total = [text], 0
+        if self.special is not None and (total := len(self.special.findall(text))):
+            pieces = self.special.split(text)
+        words: list[str] = []
+        for piece in pieces:
+            # character by character: the normaliser does not look at neighbours
+            words += self.pattern.findall("".join(map(str.lower, unicodedata.normalize("NFC", piece))))
+        once = list(dict.fromkeys(words))
+        found = dict(zip(once, self.cores.lookup(once), strict=True))
+        return total + sum([found[w] for w in words])
+
+    def count(self, texts: pa.StringArray) -> np.ndarray:
+        """Tokens of each text."""
+        words = split_words(texts)
+        runs = Runs(words.distinct)
+        values = np.zeros(len(words.distinct), np.int64)
+        cores, tails, whole = (np.array(t.lookup(x), np.int64) for t, x in ((self.cores, runs.cores), (self.whole, runs.tails), (self.whole, runs.whole)))
+        values[runs.fits] = cores[runs.core_codes] + tails[runs.tail_codes]
+        values[~runs.fits] = whole
+        return words.sums(values)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
@@ -130,11 +136,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_table(("merge", tokenizer_path), lambda: MergeCounter(tokenizer_path))
-        chunks = worker_table(("merge-chunks", tokenizer_path), lambda: ChunkTable(counter.count_chunks))
-        for ids, texts in slices(batches):
-            chunked = [t.split() for t in texts]
-            known = chunks.lookup(chunked)
-            counts = [sum(map(known.__getitem__, c)) for c in chunked]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts])], schema=SCHEMA)
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        for part in slices(batches):
+            counts = counter.count(part.column(1))
+            yield pa.record_batch([part.column(0), pc.binary_length(part.column(1)).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)], schema=SCHEMA)
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

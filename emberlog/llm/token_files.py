@@ -134,17 +134,17 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer = TaskContext.get().partitionId(), None
-        for doc_id, raw in encoded(batches, tokenizer_path, end_id):
+        for doc_id, ids in encoded(batches, tokenizer_path, end_id):
             if writer is None:
                 fs, base = filesystem(out)
                 writer = TokenFileWriter(fs, f"{base}/part-{part:06d}", length, dtype)
-            writer.add(doc_id, np.frombuffer(raw, "<u4"))
+            writer.add(doc_id, ids)
         if writer is not None:
             writer.close()
             row = {"part": part, "path": f"{out}/part-{part:06d}", "n_docs": writer.n_docs, "n_tokens": writer.n_tokens}
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return ordered.select("doc_id", "text").mapInArrow(write, FILES_SCHEMA)
 
