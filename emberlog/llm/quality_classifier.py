@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled_sample
-from .word_table import ChunkTable, slices, worker_table
+from .word_table import ChunkTable, segment_sums, slices, split_words, worker_table
 
 SAMPLE = 3000
 KEPT_FEATURES = 8192
@@ -123,25 +123,24 @@ def score(docs: DataFrame, model: SubwordModel, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margins, bias = shared.value
 
-        def fill(words: list[bytes]) -> list[complex]:
-            """A word's sum of margins and its number of features, as the parts of one number, which sum() adds together."""
-            if not words:
-                return []
-            found = [word_features(w) for w in words]
+        def fill(words: list[str]) -> list[tuple[float, int]]:
+            """Each word's sum of margins, and its number of features."""
+            found = [word_features(w.encode("utf-8")) for w in words]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             flat = margins[np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))]
-            sums = np.add.reduceat(flat, np.r_[0, np.cumsum(counts)[:-1]])
-            return (sums + 1j * counts).tolist()
+            return list(zip(np.add.reduceat(flat, np.r_[0, np.cumsum(counts)[:-1]]).tolist(), counts.tolist(), strict=True))
 
         table = worker_table(("quality",), lambda: ChunkTable(fill), version)
-        for ids, texts in slices(batches):
-            worded = [t.split() for t in texts]
-            known = table.lookup(worded)
-            sums = np.array([sum(map(known.__getitem__, w), 0j) + n * (1j + margins[REPEAT]) for w, n in ((w, repeats(w)) for w in worded)])
-            logits = sums.real / np.maximum(sums.imag, 1) + bias
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(1 / (1 + np.exp(-logits)))], names=["doc_id", "score"])
-
-    scored = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
+        for part in slices(batches):
+            words = split_words(part.column(1))
+            values = np.array(table.lookup(words.distinct.to_pylist()), float).reshape(-1, 2)
+            same = np.r_[words.codes[1:] == words.codes[:-1], False]
+            same[words.offsets[1:] - 1] = False  # the last word of a text, and of the one before empty ones
+            again = segment_sums(same.astype(np.int64), words.offsets)
+            totals, counts = words.sums(values[:, 0]) + again * margins[REPEAT], words.sums(values[:, 1]) + again
+            yield pa.record_batch([part.column(0), pa.array(1 / (1 + np.exp(-totals / np.maximum(counts, 1) - bias)))], names=["doc_id", "score"])
+
+    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

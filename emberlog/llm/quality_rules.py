@@ -85,15 +85,12 @@ def measured(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, lang, source, the counts, and ``base_failed``; kept in the shared folder, without texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for ids, texts in slices([pa.record_batch([part.column(0), part.column(1)], names=["doc_id", "text"])]):
-                    counts = [pa.array(c, pa.int64()) for c in zip(*map(measure, texts), strict=True)]
-                    yield pa.record_batch([pa.array(ids, pa.int64()), *counts, part.column(2), part.column(3)], names=[*MEASURES.names, "lang", "source"])
+        for part in slices(batches):
+            counts = [pa.array(c, pa.int64()) for c in zip(*map(measure, part.column(1).cast(pa.binary()).to_pylist()), strict=True)]
+            yield pa.record_batch([part.column(0), *counts, *part.columns[2:]], names=[*MEASURES.names, "lang", "source"])
 
     group = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), *(g.cast("string") for g in group))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(g.cast("string") for g in group))
     schema = ", ".join([*(f"{c} long" for c in MEASURES.names), "lang string", "source string"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return written(texts.mapInArrow(run, schema).withColumn("base_failed", failed), "quality-measures")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled_sample
-from .word_table import ChunkTable, slices, worker_table
+from .word_table import ChunkTable, slices, split_words, worker_table
 
 SAMPLE = 8000
 MAX_ENTRIES = 1024
@@ -47,6 +47,8 @@ MIN_EVIDENCE = 8.5
 FUZZY_FROM = 5
 #: What a hit one edit off weighs against an exact one.
 NEAR = 0.5
+#: What a quoted hit weighs.
+QUOTED = 0.3
 WINDOW = 6
 MAX_STATES = 50_000
 MAX_EXCEPTIONS = 20_000
@@ -56,6 +58,7 @@ THRESHOLD = 0.5
 #: Words that introduce another's speech, in the languages of the corpus, and quotation marks.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes cited reported dijo dice escribió citó llamó sagte sagt schrieb zitierte nannte dit écrit disait cité appelé".split())
 QUOTES = "\"'`«»“”„‘’‹›"
+QUOTES_SET = frozenset(QUOTES)
 PUNCTUATION = QUOTES + ".,;:!?()[]{}<>|*#$%&-_/\\…¿¡"
 
 
@@ -147,13 +150,13 @@ class TrieAutomaton:
         return whole if whole is not None and (stem is None or whole[1] <= stem[1]) else stem
 
 
-def core(chunk: bytes) -> str:
-    return chunk.decode("utf-8").strip(PUNCTUATION).lower()
+def core(chunk: str) -> str:
+    return chunk.strip(PUNCTUATION).lower()
 
 
 def terms(text: bytes) -> set[str]:
     """Distinct words of letters."""
-    return {w for w in map(core, set(text.split())) if len(w) >= 3 and w.isalpha()}
+    return {w for w in map(core, set(text.decode("utf-8").split())) if len(w) >= 3 and w.isalpha()}
 
 
 def learn_exceptions(sample: DataFrame, entries: dict[str, tuple[float, bool]]) -> set[str]:
@@ -217,40 +220,41 @@ class ContextScorer:
         self.automaton, self.exceptions = TrieAutomaton(entries) if entries else None, exceptions
         self.table = ChunkTable(self._fill)
 
-    def _fill(self, chunks: list[bytes]) -> list[tuple[float, int] | None]:
+    def _fill(self, chunks: list[str]) -> list[tuple[float, int]]:
+        """(weight, edits), or (0, 0) for no hit."""
         if self.automaton is None:
-            return [None] * len(chunks)
+            return [(0.0, 0)] * len(chunks)
         match, exceptions = self.automaton.match, self.exceptions
         found = [(w, match(w)) if len(w := core(c)) >= 3 else (w, None) for c in chunks]
-        return [hit if hit is not None and not (hit[1] and w in exceptions) else None for w, hit in found]
+        return [hit if hit is not None and not (hit[1] and w in exceptions) else (0.0, 0) for w, hit in found]
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
+    def features(self, texts: pa.StringArray) -> np.ndarray:
         """Rows of (any exact hit, its sum, any near hit, its sum, any quoted hit, highest)."""
-        worded = [t.split() for t in texts]
-        known = self.table.lookup(worded)
+        words = split_words(texts)
+        values = np.array(self.table.lookup(words.distinct.to_pylist()), float).reshape(-1, 2)
         out = np.zeros((len(texts), INPUTS))
-        for row, words in zip(out, worded, strict=True):
-            for at, hit in enumerate(map(known.__getitem__, words)):
-                if hit is None:
-                    continue
-                weight, edits = hit
-                damp = 0.3 if quoted(words, at) else 1.0
-                value = damp * weight * (NEAR if edits else 1.0)
-                row[2 * bool(edits)] = max(row[2 * bool(edits)], damp)
-                row[2 * bool(edits) + 1] += value
-                row[4] = max(row[4], damp < 1)
-                row[5] = max(row[5], value)
+        places = np.flatnonzero(values[words.codes, 0] != 0)
+        rows = np.searchsorted(words.offsets, places, "right") - 1
+        for at, k in zip(places.tolist(), rows.tolist(), strict=True):
+            weight, edits = values[words.codes[at]]
+            low, high = max(int(words.offsets[k]), at - WINDOW), min(int(words.offsets[k + 1]), at + 1 + WINDOW)
+            window = words.distinct.take(pa.array(words.codes[low:high])).to_pylist()
+            damp = QUOTED if quoted(window, at - low) else 1.0
+            value = damp * weight * (NEAR if edits else 1.0)
+            row, near = out[k], 2 * bool(edits)
+            row[near] = max(row[near], damp)
+            row[near + 1] += value
+            row[4] = max(row[4], damp < 1)
+            row[5] = max(row[5], value)
         out[:, (1, 3)] = np.log1p(out[:, (1, 3)])
         return out
 
 
-def quoted(words: list[bytes], at: int) -> bool:
-    """Whether quotation marks enclose word ``at`` within the window, or a reporting word and an opening mark come before it."""
-    before = [w.decode("utf-8") for w in words[max(0, at - WINDOW) : at]]
-    own = words[at].decode("utf-8")
-    after = [w.decode("utf-8") for w in words[at + 1 : at + 1 + WINDOW]]
+def quoted(window: list[str], at: int) -> bool:
+    """Whether quotation marks enclose word ``at`` of its window, or a reporting word and an opening mark come before it."""
+    before, own, after = window[:at], window[at], window[at + 1 :]
     opened = own[0] in QUOTES or any(w[0] in QUOTES for w in before)
-    closed = own.rstrip(".,;:!?")[-1:] in QUOTES or any(w.rstrip(".,;:!?")[-1:] in QUOTES for w in after)
+    closed = own.rstrip(".,;:!?")[-1:] in QUOTES_SET or any(w.rstrip(".,;:!?")[-1:] in QUOTES_SET for w in after)
     reported = any(w.strip(PUNCTUATION).lower() in REPORTING for w in before)
     return opened and (closed or reported)
 
@@ -291,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ContextScorer(entries, exceptions)
         for batch in batches:
-            found = scorer.features([t or b"" for t in batch.column(1).to_pylist()])
+            found = scorer.features(batch.column(1).cast(pa.string()))
             yield pa.record_batch([batch.column(0), pa.array(found.tolist(), pa.list_(pa.float64())), batch.column(2)], names=["doc_id", "x", "label"])
 
     got = rows.filter(~first).mapInArrow(features, "doc_id long, x array<double>, label int").toArrow().sort_by("doc_id")
@@ -307,9 +311,9 @@ def score(docs: DataFrame, model: tuple[dict, set, np.ndarray], threshold: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, exceptions, w = shared.value
         scorer = worker_table(("toxicity",), lambda: ContextScorer(entries, exceptions), version)
-        for ids, texts in slices(batches):
-            logits = scorer.features(texts) @ w[:-1] + w[-1]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))))], names=["doc_id", "score"])
+        for part in slices(batches):
+            logits = scorer.features(part.column(1)) @ w[:-1] + w[-1]
+            yield pa.record_batch([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))))], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
