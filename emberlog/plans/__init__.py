@@ -1 +1 @@
-
+"""Pipelines of operators, their configuration, extraction definitions and searches."""

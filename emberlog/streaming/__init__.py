@@ -1 +1 @@
-
+"""Stateful streams: reassembly and sessions that hold templates."""
