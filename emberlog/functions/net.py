@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MAPPED = bytes(10) + b"\xff\xff"
 
@@ -61,7 +62,7 @@ def in_network(src: Column, network: str) -> Column:
     return F.coalesce((src >= F.lit(first)) & (src <= F.lit(last)), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def address_text(src: pd.Series) -> pd.Series:
     """The usual written form."""
     return src.map(to_text)
@@ -73,7 +74,7 @@ def ipv4_text(src: Column) -> Column:
     return F.when(n.isNotNull(), F.concat_ws(".", *(F.shiftrightunsigned(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0))))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def address_bytes(text: pd.Series) -> pd.Series:
     """16 bytes of a written address; null if it is none."""
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..entry import NO_EVS, check_tag, ev, ev_upsert, text
 from ..functions.jsonpath import is_json, json_text, quoted_slice, raw_items, raw_slice, split_paths, split_quoted
@@ -28,7 +29,7 @@ def gunzip(raw: bytes | None) -> bytes | None:
         return None
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _gunzip(raw: pd.Series) -> pd.Series:
     return raw.map(gunzip)
 

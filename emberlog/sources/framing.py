@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..entry import check_tag, entries
 from ..functions.jsonpath import json_text, split_quoted
@@ -83,7 +84,7 @@ def octet_frames(data: bytes, limit: int = 1 << 20) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def octet_stream(values: pd.Series) -> pd.Series:
     """Messages of octet-counted streams."""
     return values.map(lambda v: octet_frames(bytes(v)) if v is not None else [])
@@ -106,7 +107,7 @@ def json_objects(text: str, limit: int = 1 << 20) -> list[str]:
         at = end
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_stream(values: pd.Series) -> pd.Series:
     """Objects of JSON streams."""
     return values.map(lambda v: json_objects(v) if v is not None else [])
