@@ -188,6 +188,9 @@ class Grinder:
             test &= ts <= self._now() + F.make_dt_interval(secs=F.lit(self.future))
         return F.when(test, ts) if self.past is not None or self.future is not None else ts
 
+    def _reader(self, f: TimeFormat):
+        return lambda text: self._valid(f.read(text, self.zone, self._now()))
+
     def extract(self, value: Column) -> Column:
         """The timestamp in ``value``; null if there is none."""
         from .regexes import Pattern
@@ -207,7 +210,7 @@ class Grinder:
             ts = self._valid(f.read(f.located(value), self.zone, self._now()))
             if self.past is not None or self.future is not None:  # one outside the window: look further right
                 rest = F.regexp_extract_all(value, F.lit(f.pattern), F.lit(1 if f.layout in _NUMERIC else 0))
-                ts = F.coalesce(ts, F.get(F.filter(F.transform(rest, lambda t, f=f: self._valid(f.read(t, self.zone, self._now()))), lambda t: t.isNotNull()), F.lit(0)))
+                ts = F.coalesce(ts, F.get(F.filter(F.transform(rest, self._reader(f)), lambda t: t.isNotNull()), F.lit(0)))
             found.append(ts)
         return F.coalesce(*found)
 
