@@ -227,3 +227,35 @@ def test_http_lines(spark):
     df = spark.createDataFrame([("a\nb\n",)], "b string")
     out = services.http_lines(df, F.col("b"), "web", params={"p": "1"}, grinder=None)
     assert strings(out) == ["a", "b"] and out.select(text()).count() == 2 and out.first().evs[0].name == "p"
+
+
+def fetch_pages(mark):
+    """A service of seven items, three a page."""
+    at = int(mark or 0)
+    items = [{"n": n} for n in range(at, min(at + 3, 7))]
+    return items, str(at + len(items))
+
+
+def test_follow_and_paged(spark, tmp_path):
+    from emberlog.sources.datasources import _FollowReader, _PagedReader, follow
+
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_bytes(b"one\ntwo\npart")
+    reader = _FollowReader({"path": str(folder)})
+    first = reader.latestOffset()
+    lines = lambda a, b: [r[2] for p in reader.partitions(a, b) for r in reader.read(p)]
+    assert lines(reader.initialOffset(), first) == ["one", "two"]
+    (folder / "a.log").rename(folder / "b.log")
+    with open(folder / "b.log", "ab") as f:
+        f.write(b"ial\nthree\n")
+    assert lines(first, reader.latestOffset()) == ["partial", "three"]
+    q = follow(spark, str(folder)).writeStream.format("memory").queryName("followed").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        assert {r.value for r in spark.table("followed").collect()} == {"one", "two", "partial", "three"}
+    finally:
+        q.stop()
+    paged_reader = _PagedReader({"fetch": f"{__name__}:fetch_pages"})
+    rows, end = paged_reader.read(paged_reader.initialOffset())
+    assert len(list(rows)) == 7 and end == {"mark": "7"} and len(list(paged_reader.readBetweenOffsets({"mark": "3"}, end))) == 4
