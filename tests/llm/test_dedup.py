@@ -48,11 +48,12 @@ def test_exact(spark, limit):
     assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [1, 4, 5, 7, 9, 9, 10, 12] and kept.columns == table(spark, EXACT).columns
 
 
-def test_exact_query_and_sql(spark):
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op7_near_dedup"])
+def test_query_and_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    want = con.sql(oracle_sql()["op3_exact_dedup"])
-    got = queries()["op3_exact_dedup"](spark, DATA)
+    want = con.sql(oracle_sql()[name])
+    got = queries()[name](spark, DATA)
     assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
 
 
