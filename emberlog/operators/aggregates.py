@@ -31,17 +31,21 @@ def facet_numeric(df: DataFrame, value: Column | str) -> DataFrame:
 def facet_values(df: DataFrame, value: Column, top: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """The ``top`` values with their counts, and ``Other`` for the rest; ties by value.
 
-    Only one row a value is ranked, after counting; without ``by`` the ranking
-    is an ordered limit and an anti join, so no task holds all values.
+    Values are ranked after counting.  Ranks beyond ``top`` are cut before rows
+    are brought together, and ``Other`` is what the top leaves of the total, so
+    no task holds all values of a group.
     """
     counted = df.groupBy(*by, value.cast("string").alias("value")).agg(F.count("*").alias("count")).filter("value IS NOT NULL")
     if by:
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "value"))
-        named = counted.withColumn("value", F.when(rank <= top, F.col("value")).otherwise("Other"))
-        return named.groupBy(*by, "value").agg(F.sum("count").alias("count"))
-    best = counted.orderBy(F.desc("count"), "value").limit(top)
-    rest = counted.join(F.broadcast(best.select("value")), "value", "left_anti").agg(F.sum("count").alias("count")).filter("count IS NOT NULL")
-    return best.unionByName(rest.select(F.lit("Other").alias("value"), "count"))
+        best = counted.withColumn("_rank", rank).filter(F.col("_rank") <= top).drop("_rank")
+    else:
+        best = counted.orderBy(F.desc("count"), "value").limit(top)
+    total = counted.groupBy(*by).agg(F.sum("count").alias("_all")) if by else counted.agg(F.sum("count").alias("_all"))
+    named = best.groupBy(*by).agg(F.sum("count").alias("_top")) if by else best.agg(F.sum("count").alias("_top"))
+    joined = total.join(named, list(by)) if by else total.crossJoin(named)  # one row on each side
+    rest = joined.select(*by, F.lit("Other").alias("value"), (F.col("_all") - F.col("_top")).alias("count")).filter("count > 0")
+    return best.unionByName(rest)
 
 
 def facet_by(df: DataFrame, column: str = "tag") -> DataFrame:

@@ -356,3 +356,12 @@ def test_search_and_contracts(spark):
 def test_access():
     a = filters.Access(grants=["x*"], group_grants=[["y"]])
     assert a.overlaps(["y", "z", "xa"]) == ["y", "xa"] and filters.Access(admin=True).allows("z") and not filters.Access().allows("z")
+
+
+def test_facets_by_group(spark):
+    from emberlog.operators.aggregates import facet_values
+
+    df = spark.createDataFrame([("t", v) for v in "aaabbc"] + [("u", "z"), ("u", None)], "tag string, v string")
+    got = sorted(tuple(r) for r in facet_values(df, F.col("v"), top=1, by=["tag"]).select("tag", "value", "count").collect())
+    assert got == [("t", "Other", 3), ("t", "a", 3), ("u", "z", 1)]
+    assert sorted(tuple(r) for r in facet_values(df, F.col("v"), top=2).select("value", "count").collect()) == [("Other", 2), ("a", 3), ("b", 2)]
