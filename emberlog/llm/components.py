@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .store import written
 
 MAX_ROUNDS = 60
+#: Rows of edges a task, and tasks of a round at least: rounds of few edges need not write many small files.
+EDGES_A_TASK, LEAST_TASKS = 200_000, 48
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,12 +20,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     neighbours are never gathered.
     """
     edges = written(links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct(), "star")
+    tasks = min(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(LEAST_TASKS, edges.count() // EDGES_A_TASK))
     for _ in range(MAX_ROUNDS):
         least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
         # large star: whoever hangs on a node that has a lesser neighbour moves to that neighbour
         up = least.select(F.col("hi").alias("_hi"), F.col("m").alias("_m"))
         large = edges.join(up, edges["lo"] == up["_hi"], "left").select("hi", F.coalesce("_m", "lo").alias("lo"), F.col("_m").isNotNull().cast("int").alias("moved"))
-        large = written(large.groupBy("hi", "lo").agg(F.max("moved").alias("moved")), "star")
+        large = written(large.groupBy("hi", "lo").agg(F.max("moved").alias("moved")).coalesce(tasks), "star")
         # small star: a node with several lesser neighbours ties them to the least
         low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")).withColumnRenamed("hi", "_node")
         many = low.filter("n > 1")
@@ -32,5 +35,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return large.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         joined = large.join(low, large["hi"] == low["_node"])
         small = joined.select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo")
-        edges = written(small.filter("hi <> lo").distinct(), "star")
+        edges = written(small.filter("hi <> lo").distinct().coalesce(tasks), "star")
     raise RuntimeError(f"no components after {MAX_ROUNDS} rounds")

@@ -165,10 +165,9 @@ class Block:
             x = self.parent[x]
         return x
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a: int, b: int) -> None:
         a, b = self.find(a), self.find(b)
         self.parent[max(a, b)] = min(a, b)
-        return a != b
 
     def survivors(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that the signatures leave, by falling estimate."""
@@ -183,8 +182,7 @@ class Block:
         return i[order], j[order]
 
     def links(self, i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
-        """Verified links of a spanning forest over the pairs given."""
-        out = []
+        """The components that verified links of the pairs make: each node with the least of its component."""
         step = 200_000
         for at in range(0, len(i), step):
             a, b = self.survivors(i[at : at + step], j[at : at + step], percent)
@@ -195,8 +193,7 @@ class Block:
                 n = int(common[k]) if common is not None else len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True))
                 if 100 * n >= percent * (self.sizes[x] + self.sizes[y] - n):
                     self.join(x, y)
-                    out.append((self.nodes[x], self.nodes[y]))
-        return out
+        return [(self.nodes[k], self.nodes[root]) for k in range(len(self.nodes)) if (root := self.find(k)) != k]
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Sizes of intersections of many pairs, by products of 0/1 matrices over the shingles that several nodes have."""
@@ -228,7 +225,7 @@ def fewest_agreements_at(n: int, percent: int) -> int:
 
 
 def _verified(groups: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Links (a, b) in each group (grp, part) of rows (grp, part, side, node, sig, shingles).
+    """Nodes and the least nodes (a, b) they are connected with in each group (grp, part) of rows (grp, part, side, node, sig, shingles).
 
     Side 2 holds every pair; otherwise only pairs of a node on side 0 with one on side 1 are tested.
     """
@@ -238,7 +235,7 @@ def _verified(groups: DataFrame, percent: int, partitions: int) -> DataFrame:
         sides: dict[bytes, set[int]] = {}
         for r in rows:
             sides.setdefault(r[1], set()).add(r[0])
-        nodes = list(once)
+        nodes = sorted(once)  # the least of a component is its root here and over all blocks
         block = Block(nodes, [once[x][2] for x in nodes], [np.frombuffer(once[x][3], np.uint64) for x in nodes])
         i, j = np.triu_indices(len(nodes), 1)
         if 2 not in set().union(*sides.values()):
