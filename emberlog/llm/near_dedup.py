@@ -49,6 +49,8 @@ BATCH = 32
 BLOCK = 384
 MISS = 1e-4
 SEED = 11
+#: Stands for a null id, after all others.
+NO_ID = (1 << 63) - 1
 _r = np.random.default_rng(SEED)
 _A = (_r.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _B = _r.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -107,7 +109,7 @@ def _lower(word: str) -> bytes:
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, node (128 bits of the set; null without shingles), keys (of its bands)."""
+    """Per row: doc_id, th (a hash of its text), n_shingles, node (128 bits of the set; null without shingles), keys (of its bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a copy in the same task needs no keys again
@@ -120,21 +122,39 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
                 keys.append(None if node is None or node in seen else band_keys(signature(s, BANDS * ROWS)))
                 if node is not None and len(seen) < 2_000_000:
                     seen.add(node)
-            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "keys"])
+            yield pa.record_batch([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n_shingles", "node", "keys"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    return texts.mapInArrow(run, "doc_id long, th long, n_shingles long, node binary, keys array<long>")
 
 
-def payloads(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: node, sig (lowest byte of each position), shingles."""
+def payloads(texts: DataFrame, size: int) -> DataFrame:
+    """Per row of (node, text), once a task: node, sig (lowest byte of each position), shingles (48 bits of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal rows of a document with no id of its own
         for part in slices(batches):
-            sets = list(_sets(part, size))
-            sigs = [signature(s).astype(np.uint8).tobytes() for s in sets]
-            yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "sig", "shingles"])
+            nodes, sigs, sets = [], [], []
+            for node, s in zip(part.column(0).to_pylist(), _sets(part, size), strict=True):
+                if node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    sigs.append(signature(s).astype(np.uint8).tobytes())
+                    sets.append(packed(s))
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["node", "sig", "shingles"])
+
+    return texts.mapInArrow(run, "node long, sig binary, shingles binary")
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of each: two sets of a thousand agree by chance in a shingle once in 10^8 pairs."""
+    return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "node binary, sig binary, shingles binary")
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
 
 
 def fewest_agreements(n: int, threshold: float, miss: float = MISS) -> int:
@@ -153,7 +173,7 @@ def fewest_agreements(n: int, threshold: float, miss: float = MISS) -> int:
 class Block:
     """Nodes of one group, with what pairs need."""
 
-    def __init__(self, nodes: list[bytes], sigs: list[bytes], sets: list[np.ndarray]):
+    def __init__(self, nodes: list[int], sigs: list[bytes], sets: list[np.ndarray]):
         self.nodes, self.sets = nodes, sets
         self.sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(nodes), HASHES)
         self.sizes = np.array([len(s) for s in sets])
@@ -181,7 +201,7 @@ class Block:
         order = np.argsort(-agree, kind="stable")
         return i[order], j[order]
 
-    def links(self, i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
+    def links(self, i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[int, int]]:
         """The components that verified links of the pairs make: each node with the least of its component."""
         step = 200_000
         for at in range(0, len(i), step):
@@ -230,13 +250,13 @@ def _verified(groups: DataFrame, percent: int, partitions: int) -> DataFrame:
     Side 2 holds every pair; otherwise only pairs of a node on side 0 with one on side 1 are tested.
     """
 
-    def one(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    def one(rows: list[tuple]) -> list[tuple[int, int]]:
         once = {r[1]: r for r in rows}
-        sides: dict[bytes, set[int]] = {}
+        sides: dict[int, set[int]] = {}
         for r in rows:
             sides.setdefault(r[1], set()).add(r[0])
         nodes = sorted(once)  # the least of a component is its root here and over all blocks
-        block = Block(nodes, [once[x][2] for x in nodes], [np.frombuffer(once[x][3], np.uint64) for x in nodes])
+        block = Block(nodes, [once[x][2] for x in nodes], [unpacked(once[x][3]) for x in nodes])
         i, j = np.triu_indices(len(nodes), 1)
         if 2 not in set().union(*sides.values()):
             zero, one_ = (np.array([s in sides[x] for x in nodes]) for s in (0, 1))
@@ -251,14 +271,14 @@ def _verified(groups: DataFrame, percent: int, partitions: int) -> DataFrame:
                 for grp, part, *row in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
                     if (grp, part) != key:
                         if len(rows) > 1 and (found := one(rows)):
-                            yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
+                            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
                         key, rows = (grp, part), []
                     rows.append(row)
         if len(rows) > 1 and (found := one(rows)):
-            yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     dealt = groups.select("grp", "part", "side", "node", "sig", "shingles").repartition(partitions, "grp", "part").sortWithinPartitions("grp", "part")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -266,10 +286,13 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, block: int =
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = written(sketched(docs, size), "near-rows")
-    nodes = written(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("keys").alias("keys")), "near-nodes")
+    # a node is a distinct set; its number is fixed once the table is written
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")).alias("first")
+    sets = rows.filter("node IS NOT NULL").groupBy(F.col("node").alias("set")).agg(first, F.max("keys").alias("keys"))
+    nodes = written(sets.select(F.monotonically_increasing_id().alias("node"), "set", F.col("first.id").alias("id"), F.col("first.th").alias("th"), "keys"), "near-nodes")
     keys = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("n > 1")
-    once = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("key", "least")).alias("b")).select(F.col("b.key").alias("_key"), F.col("n").alias("bucket_n"), "b.least")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("n > 1")
+    once = buckets.groupBy("n", "least", "x").agg(F.min("key").alias("_key")).select("_key", F.col("n").alias("bucket_n"), "least")
     members = written(keys.join(once, keys["key"] == once["_key"]).select("key", "bucket_n", "least", "node"), "near-members")
 
     families = connected_components(members.filter("node <> least"), "node", "least")
@@ -284,8 +307,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, block: int =
     large_members = written(large_members, "near-large")
     tasks = groups.unionByName(large_members).withColumn("side", F.lit(2))
 
-    wanted = nodes.join(small, nodes["node"] == small["_node"], "left_semi").select("node", F.col("doc_id").alias("_doc_id")).withColumnRenamed("node", "_want")
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(F.col("_doc_id")), "left_semi")
+    wanted = nodes.join(small, nodes["node"] == small["_node"], "left_semi").select("node", F.col("id").alias("_id"), F.col("th").alias("_th"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = texts.join(wanted, (F.coalesce(texts["doc_id"], F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(texts["text"]) == F.col("_th"))).select("node", "text")
     payload = written(payloads(texts, size), "near-payloads").withColumnRenamed("node", "_pnode")
     with_payload = lambda df: df.join(payload, df["node"] == payload["_pnode"])
     links = written(_verified(with_payload(tasks), percent, n), "near-links")
@@ -307,11 +331,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, block: int =
         found = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     nodes_root = found.withColumnRenamed("node", "_node")
-    named = nodes.select("node", "doc_id").join(nodes_root, nodes["node"] == F.col("_node"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", "set", "id").join(nodes_root, nodes["node"] == F.col("_node"), "left").select("set", "id", F.coalesce("root", "node").alias("root"))
     named = written(named, "near-named")
-    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "_root")
-    of_node = named.join(lowest, named["root"] == F.col("_root")).select(F.col("node").alias("_node"), "component_id")
-    out = rows.join(of_node, rows["node"] == of_node["_node"], "left")
+    lowest = named.groupBy("root").agg(F.min("id").alias("lowest")).withColumnRenamed("root", "_root")
+    of_set = named.join(lowest, named["root"] == F.col("_root")).select(F.col("set").alias("_set"), F.when(F.col("lowest") != NO_ID, F.col("lowest")).alias("component_id"))
+    out = rows.join(of_set, rows["node"] == of_set["_set"], "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -147,6 +147,12 @@ def test_near_repeats_and_empties(spark):
     assert [r.doc_id for r in kept.collect()] == [1, 1] and kept.columns == table(spark, rows).columns
 
 
+def test_packed_sets():
+    s = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 100).astype(np.uint64))
+    got = near_dedup.unpacked(near_dedup.packed(s))
+    assert got.tolist() == [int(x) >> 16 << 16 for x in s] and len(near_dedup.packed(s)) == 600 and not len(near_dedup.unpacked(b""))
+
+
 def test_posterior_bounds():
     n, t = 64, 0.85
     grid = np.linspace(0, 1, 20001)
@@ -160,6 +166,6 @@ def test_posterior_bounds():
 def test_intersections_by_matrix_products():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 3000, 400).astype(np.uint64)) for _ in range(12)]
-    b = near_dedup.Block([bytes([k]) for k in range(12)], [bytes(near_dedup.HASHES)] * 12, sets)
+    b = near_dedup.Block(list(range(12)), [bytes(near_dedup.HASHES)] * 12, sets)
     i, j = np.triu_indices(12, 1)
     assert b.common(i, j).tolist() == [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i, j)]
