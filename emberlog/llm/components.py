@@ -30,8 +30,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: a node with several lesser neighbours ties them to the least
         low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")).withColumnRenamed("hi", "_node")
         many = low.filter("n > 1")
-        state = large.agg(F.coalesce(F.max("moved"), F.lit(0)).alias("moved")).crossJoin(many.agg(F.count("*").alias("many"))).first()
-        if not state.moved and not state.many:
+        left = large.filter("moved = 1").select(F.lit(1)).union(many.select(F.lit(1)))
+        if left.isEmpty():
             return large.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         joined = large.join(low, large["hi"] == low["_node"])
         small = joined.select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo")
