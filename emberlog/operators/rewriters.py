@@ -6,7 +6,7 @@ import gzip
 import os
 import socket
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -38,7 +38,7 @@ def is_gzip(data: Column) -> Column:
     return (F.octet_length(data) > 2) & (F.substring(data, 1, 2) == F.unhex(F.lit("1F8B")))
 
 
-def gunzip_entries(passthrough: bool = False) -> "callable":
+def gunzip_entries(passthrough: bool = False) -> Callable[[DataFrame], DataFrame]:
     """Unpack gzip payloads; broken ones go, and others too unless ``passthrough``.  Only gzip payloads meet Python."""
 
     def run(df: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ class JsonExtract:
         return df.withColumn("_out", run(text())).filter("_out IS NOT NULL").withColumn("data", F.col("_out").cast("binary")).drop("_out")
 
 
-def json_extract_scalar(path: str) -> "callable":
+def json_extract_scalar(path: str) -> Callable[[DataFrame], DataFrame]:
     """Payload := one JSON scalar by the JVM's functions, unchanged where there is none: the fast way when bytes need not stay."""
     keys = split_quoted(path)
     return lambda df: df.withColumn("data", F.coalesce(json_text(text(), keys).cast("binary"), F.col("data")))
@@ -169,7 +169,7 @@ class RegexExtract:
         return df.withColumns({"data": new, "evs": evs})
 
 
-def regex_replace(pattern: str, replacement: str, case_sensitive: bool = False) -> "callable":
+def regex_replace(pattern: str, replacement: str, case_sensitive: bool = False) -> Callable[[DataFrame], DataFrame]:
     """Payload := every match replaced, ignoring case unless told; attributes are lost."""
     new = Pattern(pattern, ignore_case=not case_sensitive).replace_all(text(), replacement)
     return lambda df: df.withColumns({"data": new.cast("binary"), "evs": F.expr(NO_EVS)})

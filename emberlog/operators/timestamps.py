@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,23 +18,23 @@ def _set(df: DataFrame, ts) -> DataFrame:
     return df.withColumns({"ts": F.coalesce("_ts", "ts"), "nsec_rem": F.when(F.col("_ts").isNull(), F.col("nsec_rem")).otherwise(0)}).drop("_ts")
 
 
-def time_extract(grinder: Grinder = Grinder()) -> "callable":
+def time_extract(grinder: Grinder = Grinder()) -> Callable[[DataFrame], DataFrame]:
     """Time := what the grinder finds in the payload, if anything."""
     return lambda df: _set(df, grinder.extract(text()))
 
 
-def json_time(path: str, grinder: Grinder = Grinder()) -> "callable":
+def json_time(path: str, grinder: Grinder = Grinder()) -> Callable[[DataFrame], DataFrame]:
     """Time := what the grinder reads from a JSON value; left as it is otherwise."""
     return lambda df: _set(df, grinder.extract(json_text(text(), split_quoted(path))))
 
 
-def regex_time(pattern: str, group: str, grinder: Grinder = Grinder()) -> "callable":
+def regex_time(pattern: str, group: str, grinder: Grinder = Grinder()) -> Callable[[DataFrame], DataFrame]:
     """Time := what the grinder reads from a named group; entries that don't match pass."""
     value = Pattern(pattern).group(text(), group)
     return lambda df: _set(df, grinder.extract(value))
 
 
-def time_window(grinder: Grinder, clamp: bool = False) -> "callable":
+def time_window(grinder: Grinder, clamp: bool = False) -> Callable[[DataFrame], DataFrame]:
     """Drop entries outside the grinder's window, or set them to now."""
     if clamp:
         return lambda df: df.withColumn("ts", grinder.clamp(F.col("ts")))

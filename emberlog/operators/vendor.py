@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -18,7 +18,7 @@ from .rewriters import _gunzip, is_gzip
 _FLOW = "struct<logEvents: array<struct<id: string, timestamp: bigint, message: string, extractedFields: map<string,string>>>>"
 
 
-def flow_log_split(extract_json: bool = False) -> "callable":
+def flow_log_split(extract_json: bool = False) -> Callable[[DataFrame], DataFrame]:
     """One entry for each log event of a flow-log envelope, plain or gzip: its message, or its fields as JSON.
 
     Time := the field ``start`` in seconds.  An envelope with any bad event goes as a whole.

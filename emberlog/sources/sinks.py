@@ -70,3 +70,21 @@ def bulk_export(df: DataFrame, path: str, chunk: str = "hour") -> None:
     """gzip JSON in a folder for each chunk of time; chunks that are there already stay."""
     rows = df.select(F.date_format(F.date_trunc(chunk, "ts"), "yyyyMMdd'T'HHmmss").alias("chunk"), encode_json().alias("value"))
     rows.write.mode("ignore").partitionBy("chunk").option("compression", "gzip").text(path)
+
+
+def capture_files(df: DataFrame, packets: int = 10_000) -> DataFrame:
+    """Payloads as capture files of at most ``packets`` packets: (number, content), for a client to save; a file never leaves its task's order."""
+
+    def run(batches):
+        import pandas as pd
+
+        from .binary import write_pcap
+
+        number = 0
+        for batch in batches:
+            rows = list(zip(batch["micros"], map(bytes, batch["data"]), strict=True))
+            for at in range(0, len(rows), packets):
+                yield pd.DataFrame({"number": [number], "content": [write_pcap(rows[at : at + packets])]})
+                number += 1
+
+    return df.select(F.unix_micros("ts").alias("micros"), "data").mapInPandas(run, "number long, content binary")

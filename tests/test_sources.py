@@ -259,3 +259,9 @@ def test_follow_and_paged(spark, tmp_path):
     paged_reader = _PagedReader({"fetch": f"{__name__}:fetch_pages"})
     rows, end = paged_reader.read(paged_reader.initialOffset())
     assert len(list(rows)) == 7 and end == {"mark": "7"} and len(list(paged_reader.readBetweenOffsets({"mark": "3"}, end))) == 4
+
+
+def test_capture_files(spark):
+    df = entry_rows(spark, 30)
+    found = [p for r in sinks.capture_files(df, packets=4).collect() for p in binary.pcap_packets(bytes(r.content))]
+    assert sorted(d for _, _, d in found) == sorted(bytes(r.data) for r in df.collect()) and len(found) == 30
