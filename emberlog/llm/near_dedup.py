@@ -48,6 +48,8 @@ HASHES = 256
 BATCH = 32
 BLOCK = 384
 MISS = 1e-4
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 200_000
 SEED = 11
 #: Stands for a null id, after all others.
 NO_ID = (1 << 63) - 1
@@ -97,7 +99,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sets(part: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
     words = split_words(part.column(1))
-    table = worker_table(("shingle-words",), lambda: ChunkTable(lambda ws: [xxhash.xxh64_intdigest(_lower(w)) for w in ws]))
+    table = worker_table(("shingle-words",), lambda: ChunkTable(lambda ws: [xxhash.xxh64_intdigest(_lower(w)) for w in ws], KEPT_WORDS))
     values = np.array(table.lookup(words.distinct.to_pylist()), np.uint64)[words.codes] if len(words.distinct) else np.empty(0, np.uint64)
     for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True):
         yield shingle_set(values[a:b], size)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries a table holds before it starts again; bounds a worker's memory, not the result.
-MAX_ENTRIES = 700_000
+MAX_ENTRIES = 500_000
 #: Longer chunks are looked up each time and not kept.
 MAX_KEPT = 200
 #: Bytes of text handled together; one longer text is a slice of its own.
@@ -101,8 +101,9 @@ _tables: dict[tuple, tuple[str, object]] = {}
 
 
 def worker_table(key: tuple, make: Callable[[], object], version: str = ""):
-    """One object a worker process for each key, kept from task to task; another version replaces it."""
+    """The object a worker process keeps from task to task; another key or version replaces it, so that operators that follow one another don't add up."""
     if key not in _tables or _tables[key][0] != version:
+        _tables.clear()
         _tables[key] = (version, make())
     return _tables[key][1]
 
