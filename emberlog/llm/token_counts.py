@@ -5,8 +5,9 @@ rank, then by position; the lowest is popped and merged again and again, and
 stale pairs are passed over.  The count is the number of symbols at the start
 less the number of merges; no ids are made.
 
-The rules around the merging (normaliser, pre-tokenizer pattern, word end, byte
-alphabet, special strings) are read from the tokenizer's file.  A merge never
+The rules around the merging (normaliser, pre-tokenizer, word end, byte alphabet,
+special strings) are those of the tokenizer's file; where a chunk is not Latin
+letters with punctuation after them, the library normalises and parts it.  A merge never
 reaches over white space, so counts of distinct chunks are kept in a table.
 Null texts are empty: no bytes, no tokens.  Repeated rows each return a row; an
 empty table gives none; other columns are ignored.
@@ -15,14 +16,13 @@ empty table gives none; other columns are ignored.
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +44,8 @@ class MergeCounter:
     """Counts tokens as the tokenizers library does for a word-end byte-pair model."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -51,7 +53,8 @@ class MergeCounter:
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or kinds != ["Split", "ByteLevel"]:
             raise ValueError("a byte-level BPE model with word ends is needed")
         self.end = model["end_of_word_suffix"]
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        rules = Tokenizer.from_file(path)
+        self.normaliser, self.words = rules.normalizer, rules.pre_tokenizer
         names: dict[str, int] = {}
         self.ids = names
         self.pairs: dict[int, int] = {}
@@ -60,10 +63,11 @@ class MergeCounter:
             self.pairs.setdefault(ids[0] << 20 | ids[1], rank << 20 | ids[2])
         self.known = model["vocab"]
         self.bytes = byte_alphabet()
+        self.of_shown = {c: b for b, c in enumerate(self.bytes)}
         self.bare = [names.get(c, -1) for c in self.bytes]
         self.ended = [names.get(c + self.end, -1) for c in self.bytes]
         special = [t["content"] for t in spec["added_tokens"] if t["special"]]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.cores, self.whole = ChunkTable(self._count_cores), ChunkTable(self._count_whole)
 
     def merge(self, word: bytes) -> int:
@@ -105,20 +109,17 @@ class MergeCounter:
         return [self.merge(c.encode("utf-8")) for c in cores]
 
     def _count_whole(self, chunks: list[str]) -> list[int]:
-        """Chunks of any kind: special strings, then normalise, part by the pattern and merge each word."""
+        """Chunks of any kind: special strings, then the library's normaliser and pre-tokenizer, then merging of each word."""
         return [self._count_one(c) for c in chunks]
 
     def _count_one(self, text: str) -> int:
         pieces, total = [text], 0
         if self.special is not None and (total := len(self.special.findall(text))):
             pieces = self.special.split(text)
-        words: list[str] = []
         for piece in pieces:
-            # character by character: the normaliser does not look at neighbours
-            words += self.pattern.findall("".join(map(str.lower, unicodedata.normalize("NFC", piece))))
-        once = list(dict.fromkeys(words))
-        found = dict(zip(once, self.cores.lookup(once), strict=True))
-        return total + sum([found[w] for w in words])
+            for word, _ in self.words.pre_tokenize_str(self.normaliser.normalize_str(piece)):
+                total += self.merge(bytes(map(self.of_shown.__getitem__, word)))
+        return total
 
     def count(self, texts: pa.StringArray) -> np.ndarray:
         """Tokens of each text."""
