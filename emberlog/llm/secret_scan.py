@@ -1,15 +1,17 @@
 """Operator 8: secret scans with a random forest against false positives.
 
 Candidates are runs of key-like characters, values that are assigned to a name,
-and blocks of private keys.  A forest grown here from labelled findings decides
-which are secrets.  Its inputs are the candidate's length, its transitions
-between kinds of characters and their entropy, how much of it the dictionary
-covers, whether it looks like a path, an address or a placeholder, and the words
-around it.
+the parts of both between separators (an address's, say), keys of known prefixes
+and blocks of private keys.  They may overlap; a forest grown here from labelled
+findings scores each, and what it accepts is joined where it overlaps.  Its
+inputs are, over the whole candidate, the length, the transitions between kinds
+of characters and their entropy, how much of it the dictionary covers, whether
+it looks like a path, an address or a placeholder, and the words around it.
 
 ``labelled_findings`` makes the findings from a rule (a seed and a number are its
-parameters): keys in assignments, against checksums, identifiers, paths, long
-words, numbers and placeholders.
+parameters): keys in assignments and in addresses, against checksums, identifiers, paths,
+addresses (those around a key, too) and their parts, long words, numbers and
+placeholders.
 
 Null and empty texts have no candidates.  Positions count code points.  Equal
 candidates in one text are findings each.  Repeated rows each return a row, an
@@ -54,41 +56,49 @@ WORDS = (
 _RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
 _ASSIGNED = re.compile(r"""[:=]\s{0,3}["']?([^\s"',;<>]{8,})""")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----.*?(?:-----END [A-Z ]{0,30}PRIVATE KEY-----|\Z)", re.DOTALL)
+#: Separators, coarse to fine: parameters, names and values, all others.
+_PARTS = [re.compile(rf"[^{c}]{{8,}}") for c in ("?&#", "?&#=", r"?&#=/:@()\[\]{}|\\`")]
+_PREFIX = r"(?:AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk[-_]|pk[-_]|eyJ|glpat-|npm_)"
+_KNOWN = re.compile(rf"(?<![A-Za-z0-9]){_PREFIX}[A-Za-z0-9_.\-]{{12,}}")
+_STARTS = re.compile(_PREFIX)
 _DICTIONARY = re.compile("|".join(sorted(map(re.escape, (w for w in WORDS if len(w) > 2)), key=len, reverse=True)), re.IGNORECASE)
+_NO_LETTER = re.compile("[^A-Za-z]")
 _NEAR = re.compile(r"[a-z0-9_\-]+")
 _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.IGNORECASE)
 _PLACEHOLDER = re.compile(r"example|your[_-]|placeholder|changeme|dummy|x{4,}|\.\.\.|<|\$\{|0{6,}|12345678", re.IGNORECASE)
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of candidates, ascending and apart; the longest of those that overlap."""
-    found = [m.span() for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
+    """(start, end) of candidates, ascending; they may overlap."""
+    found = {m.span() for m in _BLOCK.finditer(text)} if "-----BEGIN" in text else set()
     for m in _RUN.finditer(text):
         start, end = m.span()
         while end > start and text[end - 1] in ".-_":
             end -= 1
         run = text[start:end]
         if end - start >= 16 and (any(c.isdigit() for c in run) or any(c in "+/_=" for c in run)):
+            found.update(_parts(text, start, end))
             name, sign, value = run.partition("=")
             if sign and value.strip("=") and name.replace("_", "").replace("-", "").isalpha():
                 start += len(name) + 1
-            found.append((start, end))
+            found.add((start, end))
     for m in _ASSIGNED.finditer(text):
         start, end = m.span(1)
         while end > start and text[end - 1] in ".)]}":
             end -= 1
-        if any(c.isdigit() for c in text[start:end]) or re.search(r"[^A-Za-z]", text[start:end]):
-            found.append((start, end))
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
-        if end - start < 8:
-            continue
-        if out and start < out[-1][1]:
-            if end - start > out[-1][1] - out[-1][0]:
-                out[-1] = (start, end)
-        else:
-            out.append((start, end))
-    return out
+        if _NO_LETTER.search(text, start, end):
+            found.add((start, end))
+            found.update(_parts(text, start, end))
+    found.update(m.span() for m in _KNOWN.finditer(text))
+    return sorted((start, end) for start, end in found if end - start >= 8)
+
+
+def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What lies between separators of each grade, with a character that is no letter."""
+    for part in _PARTS:
+        for m in part.finditer(text, start, end):
+            if m.span() != (start, end) and _NO_LETTER.search(m.group()):
+                yield m.span()
 
 
 def _kind(c: str) -> int:
@@ -101,15 +111,14 @@ NAMES = ("length", "changes", "entropy", "digits", "upper", "marks", "hex", "dic
 def describe(text: str, start: int, end: int) -> list[float]:
     """The forest's inputs for one candidate, in the order of ``NAMES``."""
     value = text[start:end]
-    head = value[:400]
-    n = len(head)
-    kinds = list(map(_kind, head))
-    counts = Counter(head)
+    n = len(value)
+    kinds = list(map(_kind, value))
+    counts = Counter(value)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    letters = re.findall("[A-Za-z]+", head)
+    letters = re.findall("[A-Za-z]+", value)
     before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     near = _NEAR.findall(before.lower())[-4:]
-    covered = sum(len(m.group()) for m in _DICTIONARY.finditer(head))
+    covered = sum(len(m.group()) for m in _DICTIONARY.finditer(value))
     named = lambda names: float(any(x in w.replace("-", "_").split("_") or x == w for w in near for x in names))
     return [
         float(end - start),
@@ -118,22 +127,22 @@ def describe(text: str, start: int, end: int) -> list[float]:
         kinds.count(2) / n,
         kinds.count(1) / n,
         kinds.count(3) / n,
-        float(all(c in "0123456789abcdefABCDEF" for c in head)),
+        float(all(c in "0123456789abcdefABCDEF" for c in value)),
         covered / n,
         max(map(len, letters), default=0) / n,
-        sum(c in "aeiouAEIOU" for c in head) / n,
-        float(head.count("/")),
-        float(head.count(".")),
-        float(bool(_UUID.match(head))),
-        float(bool(_PLACEHOLDER.search(head))),
+        sum(c in "aeiouAEIOU" for c in value) / n,
+        float(value.count("/")),
+        float(value.count(".")),
+        float(bool(_UUID.match(value))),
+        float(bool(_PLACEHOLDER.search(value))),
         float(value.startswith("-----BEGIN")),
         named(SECRET_NAMES),
         named(OTHER_NAMES),
         float(bool(re.search(r"[:=]\s*[\"']?$", before))),
         float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
-        float("://" in before[-30:] + head or "www." in head or "@" in head),
-        float(head.endswith("=")),
-        float(bool(re.match(r"AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk[-_]|pk[-_]|eyJ|glpat-|npm_", head))),
+        float("://" in before[-30:] + value or "www." in value or "@" in value),
+        float(value.endswith("=")),
+        float(bool(_STARTS.match(value))),
     ]
 
 
@@ -147,8 +156,14 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
     syllables = "the er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
     words = lambda k: " ".join("".join(pick(syllables) for _ in range(int(r.integers(1, 5)))) for _ in range(k))
 
+    def secret_value() -> str:
+        return pick([lambda: chars(hexes, pick([32, 40, 48, 64])), lambda: chars(mixed, int(r.integers(20, 64))), lambda: chars(mixed + "+/", pick([43, 86])) + "=", lambda: "AKIA" + chars(low.upper() + digits, 16), lambda: pick(["ghp_", "gho_", "npm_", "sk-", "sk_live_", "glpat-"]) + chars(mixed, 36), lambda: "eyJ" + chars(mixed, 30) + "." + chars(mixed, 50) + "." + chars(mixed, 43), lambda: chars(low + digits, int(r.integers(5, 10))) + pick("!$%&#@") + chars(mixed, 4)])()
+
     def secret() -> tuple[str, str, str]:
-        value = pick([lambda: chars(hexes, pick([32, 40, 48, 64])), lambda: chars(mixed, int(r.integers(20, 64))), lambda: chars(mixed + "+/", pick([43, 86])) + "=", lambda: "AKIA" + chars(low.upper() + digits, 16), lambda: pick(["ghp_", "gho_", "npm_", "sk-", "sk_live_", "glpat-"]) + chars(mixed, 36), lambda: "eyJ" + chars(mixed, 30) + "." + chars(mixed, 50) + "." + chars(mixed, 43), lambda: chars(low + digits, int(r.integers(5, 10))) + pick("!$%&#@") + chars(mixed, 4)])()
+        value = secret_value()
+        if r.random() < 0.2:
+            before, after = address()
+            return before, value, after
         known = re.match(r"AKIA|gh[po]_|npm_|sk|glpat|eyJ", value)
         name = pick(SECRET_NAMES) if not known or r.random() < 0.6 else ""
         if not name:
@@ -159,8 +174,17 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
         quote = pick(['"', "'", ""])
         return f"{words(3)} {name}{sign}{quote}", value, f"{quote} {words(3)}"
 
+    def address() -> tuple[str, str]:
+        """What stands before and after a key inside an address."""
+        host = pick(["www.", "api.", "db.", ""]) + pick(WORDS) + pick([".com", ".org", ".example.com", ":5432", ""])
+        if r.random() < 0.4:
+            return f"{words(3)} {pick(['', 'url=', 'dsn: '])}{pick(['postgres', 'mysql', 'https', 'redis', 'amqp'])}://{pick(WORDS)}:", f"@{host}/{pick(WORDS)} {words(3)}"
+        name = pick(SECRET_NAMES) if r.random() < 0.8 else "access_token"
+        path = "/".join(pick([pick(WORDS), "v1", chars(digits, 4)]) for _ in range(int(r.integers(1, 4))))
+        return f"{words(3)} {pick(['', 'url: ', 'GET='])}{pick(['http', 'https'])}://{host}/{path}?{pick(['', pick(WORDS) + '=' + chars(digits, 3) + '&'])}{name}=", f"{pick(['', '&' + pick(WORDS) + '=' + words(1)])} {words(3)}"
+
     def other() -> tuple[str, str, str]:
-        shape = int(r.integers(10))
+        shape = int(r.integers(13))
         before, after = words(3) + " ", " " + words(3)
         if shape == 0:
             return f"{before}{pick(OTHER_NAMES)}{pick([': ', '=', ' '])}", chars(hexes, pick([32, 40, 64])), after
@@ -180,6 +204,19 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
             return before, "_".join(pick(WORDS) for _ in range(int(r.integers(3, 6)))) + pick(["", "_1", "_v2", "()"]), after
         if shape == 8:
             return before, chars(digits, 2) + "@mail" + chars(digits, 1) + ".example.com", after
+        if shape == 10:  # an address around a key is not the key
+            left, right = address()
+            left, right = left.rpartition(" "), right.partition(" ")
+            start = pick([0, left[2].find("://") + 1, max(left[2].rfind("?"), left[2].rfind("&")) + 1])
+            return left[0] + " " + left[2][:start], left[2][start:] + secret_value() + right[0], " " + right[2]
+        if shape in (11, 12):  # parts of addresses
+            part = pick([chars(mixed, 11), chars(digits, int(r.integers(8, 14))), pick(WORDS) + "-" + pick(WORDS) + "-" + chars(digits, 2), "_".join(pick(WORDS) for _ in range(3)), pick(WORDS) + ".example.com", "www." + pick(WORDS) + ".com", chars(hexes, pick([32, 40])), "2024-01-02"])
+            lead = f"{pick(['http', 'https'])}://www.{pick(WORDS)}.com/{pick(WORDS)}" if "." not in part else pick(["http", "https"]) + ":/"
+            lead += pick(["/", f"/{chars(digits, 3)}/", f"?{pick(OTHER_NAMES)}=", f"?{pick(['v', 'q', 'page', 'utm_source'])}="]) if "." not in part else "/"
+            if r.random() < 0.4:
+                lead, mark, name = lead.rpartition("?")
+                lead, part = (lead + mark, name + part) if mark else (name, part)
+            return before + lead, part, pick(["", "/" + pick(WORDS), "&" + pick(WORDS) + "=1"]) + after
         return before + pick(["value = ", "result: ", "name=", "time: ", "size = "]), pick([words(1) + chars(digits, 2), chars(digits, 9), "2024-01-02T03:04:05", pick(WORDS) + "-" + pick(WORDS) + "-" + chars(digits, 1)]), after
 
     x, y = [], []
@@ -256,6 +293,19 @@ def scan_texts(texts: list[str], forest: Forest, threshold: float = THRESHOLD) -
     return [[(*s, p := next(scores), p >= threshold) for s in own] for own in spans]
 
 
+def joined(own: list[tuple[int, int, float, bool]]) -> list[tuple[int, int]]:
+    """(start, end) of one text's secrets, ascending and apart; those that overlap are one."""
+    out: list[tuple[int, int]] = []
+    for start, end, _, secret in own:
+        if not secret:
+            continue
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def _scanned(docs: DataFrame, forest: Forest, columns: list[str], schema: str, names: list[str], rows) -> DataFrame:
     shared, version = docs.sparkSession.sparkContext.broadcast(forest), uuid.uuid4().hex
 
@@ -276,7 +326,7 @@ def findings(docs: DataFrame, forest: Forest) -> DataFrame:
     """Per row of ``docs``: doc_id, n_candidates, n_secrets, has_secret, secrets (list of start and end), spans_sha256."""
 
     def rows(texts: list, found: list) -> list[pa.Array]:
-        kept = [[(s, e) for s, e, _, secret in own if secret] for own in found]
+        kept = [joined(own) for own in found]
         digest = [hashlib.sha256(" ".join(f"{s}-{e}" for s, e in k).encode()).hexdigest() for k in kept]
         spans = pa.array([[{"start": s, "end": e} for s, e in k] for k in kept], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         return [pa.array([len(o) for o in found], pa.int64()), pa.array([len(k) for k in kept], pa.int64()), spans, pa.array(digest, pa.string())]
@@ -292,9 +342,8 @@ def redact(docs: DataFrame, forest: Forest) -> DataFrame:
     def rows(texts: list, found: list) -> list[pa.Array]:
         out = []
         for text, own in zip(texts, found, strict=True):
-            for start, end, _, secret in reversed(own):
-                if secret:
-                    text = text[:start] + MASK + text[end:]
+            for start, end in reversed(joined(own)):
+                text = text[:start] + MASK + text[end:]
             out.append(text)
         return [pa.array(out, pa.string())]
 

@@ -141,6 +141,28 @@ def test_secrets(spark):
     assert secret_scan.findings(df.limit(0), forest).count() == 0
 
 
+KEY = "ghp_A8dK2mQ9xZ7rT4vB1nL6wY3cF5hJ0sPuEiGo"
+
+
+@pytest.mark.parametrize(
+    "before,value,after",
+    [
+        ("get https://host.example.org/v1?access_token=", KEY, "&page=2 now"),
+        ("dsn: postgres://user:", "Zk3Vt9QmX2bLr7WdYc5Hn8Jp", "@db.example.org/shop end"),
+        ("z:" + "ab(c){d=e}" * 60 + "token=", KEY, "&z=(1)"),
+    ],
+)
+def test_secrets_inside_longer_candidates(before, value, after):
+    forest = secret_scan.fit()
+    (own,) = secret_scan.scan_texts([before + value + after], forest)
+    assert secret_scan.joined(own) == [(len(before), len(before) + len(value))]
+
+
+def test_inputs_cover_whole_candidates():
+    text = "a" * 400 + "0123456789" * 40
+    assert secret_scan.describe(text, 0, 800)[secret_scan.NAMES.index("digits")] == 0.5
+
+
 def test_forest_learns_a_rule():
     r = np.random.default_rng(0)
     x = r.random((600, 5))
