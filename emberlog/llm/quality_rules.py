@@ -3,11 +3,15 @@
 One pass over whole texts measures each document.  KLL sketches of the measures
 are made for every (language, source) and merged for every language and for the
 whole corpus, so nothing is read twice and sketches of other days can be merged
-in.  A group's thresholds are its quartiles widened by a multiple of their
-spread; groups with few documents take those of their language, then of the
-corpus.  Rows then join their group's thresholds, and the verdict is kept unless
-a measure lies beyond them.  A floor keeps thresholds away from the bulk where a
-group has no spread at all.
+in.  A group's thresholds lie a multiple of its quartile spread from its median;
+no cutoff is fixed.  Shares are smoothed by half a unit of what they count, so
+that documents without any of it still have a spread, by their lengths.  A
+source's thresholds lie within its language's, and a language's shares within
+the corpus's, so none lifts its bounds by its own junk.  Groups with few
+documents, and sources with under half their language's spread (copies, mostly),
+take those of their language, then of the corpus.  A spread of a language is half
+the corpus's at least; a corpus without spread sets no bound.  Rows then join
+their group's thresholds, and the verdict is kept unless a measure lies beyond.
 
 Null texts count as empty: no words, so ``base_failed``.  Null languages and
 sources are groups of their own.  Repeated rows each return a row, an empty
@@ -32,9 +36,8 @@ WINDOW = 8
 MIN_WORDS = 20
 #: Documents a group needs for thresholds of its own.
 MIN_GROUP = 200
-#: Quartile spreads beyond the quartiles, and the least distance from them, by measure.
+#: Quartile spreads between the median and the thresholds.
 SPREADS = 6.0
-FLOORS = {"symbol_share": 0.05, "dup_line_share": 0.30, "repeat_share": 0.20, "word_length": 2.5}
 #: Measures that fail on either side.
 TWO_SIDED = ("word_length",)
 SKETCH_K = 400
@@ -77,8 +80,9 @@ def measure(text: bytes) -> tuple[int, int, int, int, int, int]:
 
 
 def _shares() -> dict[str, Column]:
-    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return {"symbol_share": F.col("n_symbols") / chars, "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), "repeat_share": F.col("n_repeat_words") / words, "word_length": F.col("word_chars") / words}
+    """The measures; shares with half a unit added: a symbol, a line, two windows of repeated words."""
+    share = lambda count, of, unit: (F.col(count) + unit / 2) / (F.col(of) + unit)
+    return {"symbol_share": share("n_symbols", "word_chars", 1), "dup_line_share": share("n_dup_lines", "n_lines", 1), "repeat_share": share("n_repeat_words", "n_words", 2 * WINDOW), "word_length": F.col("word_chars") / F.greatest("n_words", F.lit(1))}
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -102,21 +106,32 @@ def thresholds(rows: DataFrame) -> DataFrame:
     sketches = rows.filter("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(name) for name, c in shares.items()))
     merged = lambda df: df.agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(name).alias(name) for name in shares))
 
-    def bounds(df: DataFrame, mark: str) -> DataFrame:
+    def middles(df: DataFrame, mark: str) -> DataFrame:
         out = [F.col("n").alias(f"n_{mark}")]
         for name in shares:
-            low, high = (F.kll_sketch_get_quantile_double(name, F.lit(q)) for q in (0.25, 0.75))
-            reach = F.greatest(SPREADS * (high - low), F.lit(FLOORS[name]))
-            out += [(high + reach).alias(f"{name}_high_{mark}"), (low - reach).alias(f"{name}_low_{mark}")]
+            low, mid, high = (F.kll_sketch_get_quantile_double(name, F.lit(q)) for q in (0.25, 0.5, 0.75))
+            out += [mid.alias(f"{name}_mid_{mark}"), (high - low).alias(f"{name}_spread_{mark}")]
         keys = [c for c in ("lang", "source") if c in df.columns]
         return df.select(*keys, *out)
 
     sketches = written(sketches, "quality-sketches")
-    own, language, corpus = bounds(sketches, "own"), bounds(merged(sketches.groupBy("lang")), "lang"), bounds(merged(sketches.groupBy()).filter("n > 0"), "all")
+    own, language, corpus = middles(sketches, "own"), middles(merged(sketches.groupBy("lang")), "lang"), middles(merged(sketches.groupBy()).filter("n > 0"), "all")
     language = language.withColumnRenamed("lang", "_lang")
     joined = own.join(language, own["lang"].eqNullSafe(language["_lang"]), "left").join(F.broadcast(corpus), how="left")
-    pick = lambda c: F.when(F.col("n_own") >= MIN_GROUP, F.col(f"{c}_own")).when(F.col("n_lang") >= MIN_GROUP, F.col(f"{c}_lang")).otherwise(F.col(f"{c}_all"))
-    return joined.select("lang", "source", *(pick(f"{name}_{side}").alias(f"{name}_{side}") for name in shares for side in ("low", "high")))
+    for name in shares:
+        spread = {mark: F.col(f"{name}_spread_{mark}") for mark in ("all", "lang", "own")}
+        reach = lambda mark, width, sign: F.when(width > 0, F.col(f"{name}_mid_{mark}") + sign * SPREADS * width)  # noqa: E731, B023
+        wide = F.greatest(spread["lang"], spread["all"] / 2)
+        few = F.col("n_lang") < MIN_GROUP
+        base = F.when(few, spread["all"]).otherwise(wide)
+        alike = (F.col("n_own") < MIN_GROUP) | (2 * spread["own"] < base) | (spread["own"] == 0)
+        for side, sign, inner in (("low", -1, F.greatest), ("high", 1, F.least)):
+            corpus_bound, language_bound = reach("all", spread["all"], sign), reach("lang", wide, sign)
+            if name not in TWO_SIDED:
+                language_bound = inner(language_bound, corpus_bound)
+            outer = F.when(few, corpus_bound).otherwise(language_bound)
+            joined = joined.withColumn(f"{name}_{side}", F.when(alike, outer).otherwise(inner(reach("own", spread["own"], sign), outer)))
+    return joined.select("lang", "source", *(f"{name}_{side}" for name in shares for side in ("low", "high")))
 
 
 def judge(docs: DataFrame) -> DataFrame:
