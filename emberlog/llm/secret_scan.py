@@ -2,7 +2,7 @@
 
 Candidates are runs of key-like characters, values that are assigned to a name,
 the parts of both between separators (an address's, say), keys of known prefixes
-and blocks of private keys.  They may overlap; a forest grown here from labelled
+and blocks between BEGIN and END lines.  They may overlap; a forest grown here from labelled
 findings scores each, and what it accepts is joined where it overlaps.  Its
 inputs are, over the whole candidate, the length, the transitions between kinds
 of characters and their entropy, how much of it the dictionary covers, whether
@@ -11,7 +11,8 @@ it looks like a path, an address or a placeholder, and the words around it.
 ``labelled_findings`` makes the findings from a rule (a seed and a number are its
 parameters): keys in assignments and in addresses, against checksums, identifiers, paths,
 addresses (those around a key, too) and their parts, long words, numbers and
-placeholders.
+placeholders, and blocks of private keys against certificates, public keys and
+mentions.
 
 Null and empty texts have no candidates.  Positions count code points.  Equal
 candidates in one text are findings each.  Repeated rows each return a row, an
@@ -20,6 +21,7 @@ empty table none; other columns stay in :func:`redact` and are ignored elsewhere
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -43,6 +45,8 @@ MASK = "[SECRET]"
 #: Names that announce secrets, names that announce other codes, and common words.
 SECRET_NAMES = "secret token password passwd pwd apikey api_key api-key access_key auth authorization bearer credential credentials private_key client_secret signing_key passphrase".split()
 OTHER_NAMES = "sha sha1 sha256 md5 checksum digest commit revision etag uuid guid hash id ref version build image path file url href src integrity".split()
+PRIVATE_BLOCKS = ["RSA PRIVATE KEY", "EC PRIVATE KEY", "DSA PRIVATE KEY", "PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK"]
+PUBLIC_BLOCKS = ["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST", "PGP PUBLIC KEY BLOCK", "PGP SIGNATURE"]
 WORDS = (
     "about account action after also application back because been before build call change check class client code config content data date default delete "
     "device document domain download each email error event example file first folder form from function get group have header home host image index "
@@ -55,7 +59,12 @@ WORDS = (
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
 _ASSIGNED = re.compile(r"""[:=]\s{0,3}["']?([^\s"',;<>]{8,})""")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----.*?(?:-----END [A-Z ]{0,30}PRIVATE KEY-----|\Z)", re.DOTALL)
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----")
+_END = re.compile(r"-----END [A-Z0-9 ]{1,60}-----")
+#: A block's header lines and, one at a time, its lines of base64; line ends may be written as escapes.
+_BREAK = r"[ \t>]*(?:\r?\n|(?:\\r)?\\n)"
+_HEADERS = re.compile(rf"(?:{_BREAK}[ \t>]*[A-Za-z\-]+: [^\n\\]*)*")
+_BODY = re.compile(rf"(?:{_BREAK})*[ \t>]*([A-Za-z0-9+/=]{{40,}}|[A-Za-z0-9+/=]+(?=[ \t\r]*(?:\n|\\[nr]|\Z|[\"'<,;])))")
 #: Separators, coarse to fine: parameters, names and values, all others.
 _PARTS = [re.compile(rf"[^{c}]{{8,}}") for c in ("?&#", "?&#=", r"?&#=/:@()\[\]{}|\\`")]
 _PREFIX = r"(?:AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk[-_]|pk[-_]|eyJ|glpat-|npm_)"
@@ -68,9 +77,29 @@ _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{1
 _PLACEHOLDER = re.compile(r"example|your[_-]|placeholder|changeme|dummy|x{4,}|\.\.\.|<|\$\{|0{6,}|12345678", re.IGNORECASE)
 
 
+def blocks(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, kind) of BEGIN blocks, ascending and apart; one without END ends with its lines of base64.
+
+    The kind is 1 for a private key in lines of base64, 0.5 for what else is between a private key's lines, -1 for other blocks.
+    """
+    begins = list(_BEGIN.finditer(text)) if "-----BEGIN" in text else []
+    out = []
+    for k, m in enumerate(begins):
+        close = _END.search(text, m.end(), begins[k + 1].start() if k + 1 < len(begins) else len(text))
+        end, width = _HEADERS.match(text, m.end()).end(), 0
+        while line := _BODY.match(text, end, close.start() if close else len(text)):
+            end = line.end()
+            if not close and len(line[1]) < width:
+                break
+            width = max(width, len(line[1]))
+        whole = width > 0 and not (close and text[end : close.start()].replace("\\r", "").replace("\\n", "").strip(" \t\r\n>"))
+        out.append((m.start(), close.end() if close else end, -1.0 if "PRIVATE KEY" not in m[1] else 1.0 if whole else 0.5))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of candidates, ascending; they may overlap."""
-    found = {m.span() for m in _BLOCK.finditer(text)} if "-----BEGIN" in text else set()
+    found = {(start, end) for start, end, _ in blocks(text)}
     for m in _RUN.finditer(text):
         start, end = m.span()
         while end > start and text[end - 1] in ".-_":
@@ -108,10 +137,19 @@ def _kind(c: str) -> int:
 NAMES = ("length", "changes", "entropy", "digits", "upper", "marks", "hex", "dictionary", "longest_letters", "vowels", "slashes", "dots", "uuid", "placeholder", "block", "secret_name", "other_name", "assigned", "quoted", "url", "padding", "prefix")
 
 
-def describe(text: str, start: int, end: int) -> list[float]:
-    """The forest's inputs for one candidate, in the order of ``NAMES``."""
+def describe(text: str, start: int, end: int, around: list[tuple[int, int, float]] | None = None) -> list[float]:
+    """The forest's inputs for one candidate, in the order of ``NAMES``; ``around`` are the text's blocks.
+
+    ``block`` is the kind of the block that the candidate is or lies in, else 0.  All but length and neighbourhood
+    of a block are those of what its BEGIN and END lines enclose.
+    """
+    around = blocks(text) if around is None else around
+    at = bisect.bisect_right(around, start, key=lambda b: b[0]) - 1
+    block = around[at][2] if at >= 0 and end <= around[at][1] else 0.0
     value = text[start:end]
-    n = len(value)
+    if block and (start, end) == around[at][:2]:
+        value = _END.sub("", value[_BEGIN.match(value).end() :]).strip().removeprefix("\\n").removesuffix("\\n")
+    n = max(len(value), 1)
     kinds = list(map(_kind, value))
     counts = Counter(value)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
@@ -135,7 +173,7 @@ def describe(text: str, start: int, end: int) -> list[float]:
         float(value.count(".")),
         float(bool(_UUID.match(value))),
         float(bool(_PLACEHOLDER.search(value))),
-        float(value.startswith("-----BEGIN")),
+        block,
         named(SECRET_NAMES),
         named(OTHER_NAMES),
         float(bool(re.search(r"[:=]\s*[\"']?$", before))),
@@ -159,7 +197,27 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
     def secret_value() -> str:
         return pick([lambda: chars(hexes, pick([32, 40, 48, 64])), lambda: chars(mixed, int(r.integers(20, 64))), lambda: chars(mixed + "+/", pick([43, 86])) + "=", lambda: "AKIA" + chars(low.upper() + digits, 16), lambda: pick(["ghp_", "gho_", "npm_", "sk-", "sk_live_", "glpat-"]) + chars(mixed, 36), lambda: "eyJ" + chars(mixed, 30) + "." + chars(mixed, 50) + "." + chars(mixed, 43), lambda: chars(low + digits, int(r.integers(5, 10))) + pick("!$%&#@") + chars(mixed, 4)])()
 
+    def block(kind: str) -> str:
+        shortest, most = pick([(3, 12), (3, 60), (100, 1000), (1000, 2400)])
+        body = chars(mixed + "+/" if most > 60 else pick([low, low.upper(), mixed, hexes]), int(r.integers(shortest, most)))
+        lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+        if r.random() < 0.15 and "PRIVATE" in kind:
+            lines = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + chars(hexes.upper(), 32), "", *lines]
+        return pick(["\n", "\n", "\\n", '\\n" +\n  "']).join([f"-----BEGIN {kind}-----", *lines, *([f"-----END {kind}-----"] if r.random() < 0.8 else [])])
+
+    def line_of(whole: str) -> tuple[str, str, str]:
+        lines = [m.span() for m in re.finditer(r"(?<![^\n])[A-Za-z0-9+/=]{16,}(?![^\n])", whole)]
+        start, end = pick(lines) if lines else (0, len(whole))
+        return whole[:start], whole[start:end], whole[end:]
+
+    def framed(whole: str) -> tuple[str, str, str]:
+        """A block or a line of it, in a text."""
+        before, value, after = line_of(whole) if r.random() < 0.3 else ("", whole, "")
+        return words(3) + pick(["\n", " ", ": "]) + before, value, after + "\n" + words(3)
+
     def secret() -> tuple[str, str, str]:
+        if r.random() < 0.2:
+            return framed(block(pick(PRIVATE_BLOCKS)))
         value = secret_value()
         if r.random() < 0.2:
             before, after = address()
@@ -184,7 +242,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
         return f"{words(3)} {pick(['', 'url: ', 'GET='])}{pick(['http', 'https'])}://{host}/{path}?{pick(['', pick(WORDS) + '=' + chars(digits, 3) + '&'])}{name}=", f"{pick(['', '&' + pick(WORDS) + '=' + words(1)])} {words(3)}"
 
     def other() -> tuple[str, str, str]:
-        shape = int(r.integers(13))
+        shape = int(r.integers(17))
         before, after = words(3) + " ", " " + words(3)
         if shape == 0:
             return f"{before}{pick(OTHER_NAMES)}{pick([': ', '=', ' '])}", chars(hexes, pick([32, 40, 64])), after
@@ -209,7 +267,12 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
             left, right = left.rpartition(" "), right.partition(" ")
             start = pick([0, left[2].find("://") + 1, max(left[2].rfind("?"), left[2].rfind("&")) + 1])
             return left[0] + " " + left[2][:start], left[2][start:] + secret_value() + right[0], " " + right[2]
-        if shape in (11, 12):  # parts of addresses
+        if shape == 13:
+            return framed(block(pick(PUBLIC_BLOCKS)))
+        if shape == 14:  # blocks that are only spoken of
+            kind = pick(PRIVATE_BLOCKS)
+            return before, pick([f"-----BEGIN {kind}-----", f"-----BEGIN {kind}----- {words(int(r.integers(2, 40)))} -----END {kind}-----", f"-----BEGIN {kind}-----\n...\n-----END {kind}-----"]), after
+        if shape in (11, 12, 15, 16):  # parts of addresses
             part = pick([chars(mixed, 11), chars(digits, int(r.integers(8, 14))), pick(WORDS) + "-" + pick(WORDS) + "-" + chars(digits, 2), "_".join(pick(WORDS) for _ in range(3)), pick(WORDS) + ".example.com", "www." + pick(WORDS) + ".com", chars(hexes, pick([32, 40])), "2024-01-02"])
             lead = f"{pick(['http', 'https'])}://www.{pick(WORDS)}.com/{pick(WORDS)}" if "." not in part else pick(["http", "https"]) + ":/"
             lead += pick(["/", f"/{chars(digits, 3)}/", f"?{pick(OTHER_NAMES)}=", f"?{pick(['v', 'q', 'page', 'utm_source'])}="]) if "." not in part else "/"
@@ -288,7 +351,7 @@ def fit(n: int = FINDINGS, seed: int = SEED) -> Forest:
 def scan_texts(texts: list[str], forest: Forest, threshold: float = THRESHOLD) -> list[list[tuple[int, int, float, bool]]]:
     """Per text, (start, end, score, whether it is a secret) of each candidate."""
     spans = [candidates(t) for t in texts]
-    inputs = [describe(t, *s) for t, own in zip(texts, spans, strict=True) for s in own]
+    inputs = [describe(t, *s, around) for t, own in zip(texts, spans, strict=True) for around in [blocks(t)] for s in own]
     scores = iter(forest.score(np.array(inputs)).tolist() if inputs else [])
     return [[(*s, p := next(scores), p >= threshold) for s in own] for own in spans]
 
