@@ -16,12 +16,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """At most ``bound`` labelled rows outside the held-out fold, with whole texts: (doc_id, text as bytes, label).
+    """At most ``bound`` labelled documents outside the held-out fold, with whole texts: (doc_id, text as bytes, label).
 
-    The rows are those of smallest ``xxhash64(doc_id)``.  The ids are broadcast,
-    never more than ``bound``; texts stay in a table of the shared folder.
+    They are those of smallest ``xxhash64(doc_id)``, one row for each id: where
+    an id repeats, its text of smallest hash.  The ids are broadcast, never more
+    than ``bound``; texts stay in a table of the shared folder.
     """
     rows = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), "labelled-sample")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    return written(one.select("doc_id", "t.text", "label"), "labelled-sample")

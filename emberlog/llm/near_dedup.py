@@ -4,9 +4,9 @@
    are one node, so exact copies never meet as pairs.
 2. A signature's bands give bucket keys.  Buckets of one node, and buckets with
    the same nodes as another, are dropped before anything heavy moves.
-3. Buckets that touch form families.  A family of up to ``BLOCK`` nodes goes to
-   one task, each node once.  Larger families go bucket by bucket, and buckets
-   beyond ``BLOCK`` nodes in blocks.
+3. Buckets that touch form families.  A family of up to ``BLOCK`` nodes and
+   ``BLOCK_BYTES`` of sets goes to one task, each node once.  Larger families go
+   bucket by bucket, and buckets beyond a block in several.
 4. In a block, signatures of all pairs are compared a batch of positions at a
    time.  After m agreements in n positions the similarity's posterior (uniform
    prior) is Beta(m + 1, n - m + 1); a pair is given up as soon as the
@@ -15,7 +15,8 @@
    their nodes are connected.
 5. Links give components.  In a bucket of several blocks, nodes outside its
    largest component meet the other blocks too; pairs inside that component
-   need no test, so no link between different components is lost.
+   need no test, so no link between different components is lost.  First only
+   signatures meet; sets follow for the nodes that have a surviving pair.
 
 A pair at the threshold shares no band with probability (1 - t^ROWS)^BANDS, for
 0.85 under 1e-6.  Only keys, nodes and links are aggregated; no pair is emitted
@@ -24,29 +25,35 @@ but verified links of a spanning forest.
 Null and empty texts, and texts without words, have no shingles, are linked with
 nothing and are their own component.  Rows that repeat a doc_id with the same
 text are one document's; with different texts, each row has its own set.  A null
-doc_id never names a component unless no row of it has an id.  An empty table
-gives no rows; other columns are ignored.
+doc_id never names a component unless no row of it has an id.  Very long texts
+are whole sets; a set larger than a block is a block of its own.  An empty table
+gives no rows; other columns are ignored.  :func:`drop_near` leaves one row of
+each component, whatever ids repeat, and every row without shingles.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import written
+from .joins import weighed_join
+from .store import discard, written
 from .word_table import ChunkTable, slices, split_words, worker_table
 
 BANDS, ROWS = 25, 5
 HASHES = 256
 BATCH = 32
 BLOCK = 384
+#: Bytes of packed sets in a block, about.
+BLOCK_BYTES = 48_000_000
 MISS = 1e-4
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 200_000
@@ -111,10 +118,11 @@ def _lower(word: str) -> bytes:
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: doc_id, th (a hash of its text), n_shingles, node (128 bits of the set; null without shingles), keys (of its bands)."""
+    """Per row: doc_id, th (a hash of its text), row (a number), n_shingles, node (128 bits of the set; null without shingles), keys (of its bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a copy in the same task needs no keys again
+        row = TaskContext.get().partitionId() << 33
         for part in slices(batches):
             n, nodes, keys = [], [], []
             for s in _sets(part, size):
@@ -124,10 +132,12 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
                 keys.append(None if node is None or node in seen else band_keys(signature(s, BANDS * ROWS)))
                 if node is not None and len(seen) < 2_000_000:
                     seen.add(node)
-            yield pa.record_batch([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n_shingles", "node", "keys"])
+            numbers = pa.array(range(row, row + len(n)), pa.int64())
+            row += len(n)
+            yield pa.record_batch([part.column(0), part.column(2), numbers, pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "row", "n_shingles", "node", "keys"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    return texts.mapInArrow(run, "doc_id long, th long, n_shingles long, node binary, keys array<long>")
+    return texts.mapInArrow(run, "doc_id long, th long, row long, n_shingles long, node binary, keys array<long>")
 
 
 def payloads(texts: DataFrame, size: int) -> DataFrame:
@@ -173,12 +183,12 @@ def fewest_agreements(n: int, threshold: float, miss: float = MISS) -> int:
 
 
 class Block:
-    """Nodes of one group, with what pairs need."""
+    """Nodes of one group, with what pairs need; sets only where links are verified."""
 
-    def __init__(self, nodes: list[int], sigs: list[bytes], sets: list[np.ndarray]):
+    def __init__(self, nodes: list[int], sigs: list[bytes], sets: list[np.ndarray], sizes: list[int] | None = None):
         self.nodes, self.sets = nodes, sets
         self.sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(nodes), HASHES)
-        self.sizes = np.array([len(s) for s in sets])
+        self.sizes = np.array([len(s) for s in sets] if sizes is None else sizes)
         self.parent = list(range(len(nodes)))
 
     def find(self, x: int) -> int:
@@ -246,25 +256,12 @@ def fewest_agreements_at(n: int, percent: int) -> int:
     return _fewest[n, percent]
 
 
-def _verified(groups: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Nodes and the least nodes (a, b) they are connected with in each group (grp, part) of rows (grp, part, side, node, sig, shingles).
+def _in_groups(groups: DataFrame, one: Callable[[list[tuple]], list[tuple]], columns: list[str], schema: str, partitions: int) -> DataFrame:
+    """What ``one`` makes of the rows (side, node, sig, n, ...) of each group (grp, part), which meet in one task."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    Side 2 holds every pair; otherwise only pairs of a node on side 0 with one on side 1 are tested.
-    """
-
-    def one(rows: list[tuple]) -> list[tuple[int, int]]:
-        once = {r[1]: r for r in rows}
-        sides: dict[int, set[int]] = {}
-        for r in rows:
-            sides.setdefault(r[1], set()).add(r[0])
-        nodes = sorted(once)  # the least of a component is its root here and over all blocks
-        block = Block(nodes, [once[x][2] for x in nodes], [unpacked(once[x][3]) for x in nodes])
-        i, j = np.triu_indices(len(nodes), 1)
-        if 2 not in set().union(*sides.values()):
-            zero, one_ = (np.array([s in sides[x] for x in nodes]) for s in (0, 1))
-            across = (zero[i] & one_[j]) | (one_[i] & zero[j])
-            i, j = i[across], j[across]
-        return block.links(i, j, percent)
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -273,76 +270,162 @@ def _verified(groups: DataFrame, percent: int, partitions: int) -> DataFrame:
                 for grp, part, *row in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
                     if (grp, part) != key:
                         if len(rows) > 1 and (found := one(rows)):
-                            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+                            yield batch_of(found)
                         key, rows = (grp, part), []
                     rows.append(row)
         if len(rows) > 1 and (found := one(rows)):
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            yield batch_of(found)
+
+    dealt = groups.select("grp", "part", "side", "node", *columns).repartition(partitions, "grp", "part").sortWithinPartitions("grp", "part")
+    return dealt.mapInArrow(run, schema)
+
 
-    dealt = groups.select("grp", "part", "side", "node", "sig", "shingles").repartition(partitions, "grp", "part").sortWithinPartitions("grp", "part")
-    return dealt.mapInArrow(run, "a long, b long")
+def _pairs(rows: list[tuple]) -> tuple[dict[int, tuple], list[int], np.ndarray, np.ndarray]:
+    """(a row for each node, nodes, pairs i and j) of one group's rows (side, node, ...).
+
+    Side 2 holds every pair; otherwise a pair is a node on side 0 and one on side 1.
+    """
+    once = {r[1]: r for r in rows}
+    sides: dict[int, set[int]] = {}
+    for r in rows:
+        sides.setdefault(r[1], set()).add(r[0])
+    nodes = sorted(once)  # the least of a component is its root here and over all blocks
+    i, j = np.triu_indices(len(nodes), 1)
+    if 2 not in set().union(*sides.values()):
+        zero, one = (np.array([s in sides[x] for x in nodes]) for s in (0, 1))
+        across = (zero[i] & one[j]) | (one[i] & zero[j])
+        i, j = i[across], j[across]
+    return once, nodes, i, j
+
+
+def verified(groups: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """Nodes and the least nodes (a, b) they are connected with in each group (grp, part) of rows (grp, part, side, node, sig, n, shingles)."""
+
+    def one(rows: list[tuple]) -> list[tuple[int, int]]:
+        once, nodes, i, j = _pairs(rows)
+        block = Block(nodes, [once[x][2] for x in nodes], [unpacked(once[x][4]) for x in nodes])
+        return block.links(i, j, percent)
 
+    return _in_groups(groups, one, ["sig", "n", "shingles"], "a long, b long", partitions)
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+
+def surviving(groups: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """The rows (grp, part, side, node) of nodes with a pair that the signatures leave, from rows (grp, part, side, node, sig, n)."""
+
+    def one(rows: list[tuple]) -> list[tuple]:
+        once, nodes, i, j = _pairs(rows)
+        block = Block(nodes, [once[x][2] for x in nodes], [], [once[x][3] for x in nodes])
+        left: set[int] = set()
+        for at in range(0, len(i), 200_000):
+            for side in block.survivors(i[at : at + 200_000], j[at : at + 200_000], percent):
+                left.update(np.unique(side).tolist())
+        alive = {nodes[k] for k in left}
+        return [(r[4], r[5], r[0], r[1]) for r in rows if r[1] in alive]
+
+    own = groups.withColumns({"own_grp": F.col("grp"), "own_part": F.col("part")})
+    return _in_groups(own, one, ["sig", "n", "own_grp", "own_part"], "grp long, part long, side long, node long", partitions)
+
+
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept; linked at ``percent`` of shared shingles or more."""
+    return _grouped(docs, size, percent, block, block_bytes).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, block: int, block_bytes: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, th, n_shingles, component_id, and ``stays``: true for one row of each component and for rows without shingles."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = written(sketched(docs, size), "near-rows")
     # a node is a distinct set; its number is fixed once the table is written
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")).alias("first")
-    sets = rows.filter("node IS NOT NULL").groupBy(F.col("node").alias("set")).agg(first, F.max("keys").alias("keys"))
-    nodes = written(sets.select(F.monotonically_increasing_id().alias("node"), "set", F.col("first.id").alias("id"), F.col("first.th").alias("th"), "keys"), "near-nodes")
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("n > 1")
-    once = buckets.groupBy("n", "least", "x").agg(F.min("key").alias("_key")).select("_key", F.col("n").alias("bucket_n"), "least")
-    members = written(keys.join(once, keys["key"] == once["_key"]).select("key", "bucket_n", "least", "node"), "near-members")
+    id_ = F.coalesce("doc_id", F.lit(NO_ID))
+    one = [F.min(id_).alias("id"), F.min_by("th", id_).alias("th"), F.min_by("row", id_).alias("row"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")]
+    bands = [F.max(F.get("keys", F.lit(k))).alias(f"k{k}") for k in range(BANDS)]  # long by long: such buffers need no sort
+    sets = rows.filter("node IS NOT NULL").groupBy(F.col("node").alias("set")).agg(*one, *bands)
+    nodes = written(sets.select(F.monotonically_increasing_id().alias("node"), "set", "id", "th", "row", "n", "copies", F.array(*(f"k{k}" for k in range(BANDS))).alias("keys")), "near-nodes")
+    n_rows, n_nodes = rows.count(), nodes.count()
+    keys = nodes.select("node", F.col("n").alias("size"), F.explode("keys").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("n > 1")
+    once = buckets.groupBy("n", "least", "x").agg(F.min("key").alias("_key"), F.max("size").alias("bucket_size"))
+    once = once.select("_key", F.col("n").alias("bucket_n"), "bucket_size", "least")
+    found = weighed_join(keys, once, ("key", "_key"), "bucket_n", BANDS * n_nodes)
+    members = written(found.select("key", "bucket_n", "bucket_size", "least", "node", "size"), "near-members")
 
     families = connected_components(members.filter("node <> least"), "node", "least")
-    label = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
-    sizes = families.groupBy("root").agg((F.count("*") + 1).alias("family_n")).withColumnRenamed("root", "_root")
-    small = label.join(sizes, label["root"] == sizes["_root"]).withColumn("small", F.col("family_n") <= block).select(F.col("node").alias("_node"), "root", "small")
-    small = written(small, "near-families")
-    blocks = F.ceil(F.col("bucket_n") / block)
+    label = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select(F.col("node").alias("_node"), F.col("n").alias("size")), F.col("node") == F.col("_node")).select("node", "root", "size")
+    label = written(label, "near-families")
+    sizes = label.groupBy("root").agg(F.count("*").alias("family_n"), F.sum("size").alias("family_size")).withColumnRenamed("root", "_root")
+    fits = (F.col("family_n") <= block) & (F.col("family_size") * 6 <= block_bytes)
+    small = written(weighed_join(label, sizes, ("root", "_root"), "family_n", n_nodes).select(F.col("node").alias("_node"), "root", fits.alias("small")), "near-small")
+    discard(families, label)
+    blocks = F.greatest(F.ceil(F.col("bucket_n") / block), F.ceil(F.col("bucket_size") * 6 / block_bytes))
     placed = F.pmod(F.xxhash64("node", "key"), blocks)
     large_members = members.join(small.filter(~F.col("small")), members["node"] == F.col("_node"), "left_semi").select(F.col("key").alias("grp"), placed.alias("part"), blocks.alias("blocks"), "node")
     groups = small.filter("small").select(F.xxhash64("root").alias("grp"), F.lit(-1).cast("long").alias("part"), F.lit(1).cast("long").alias("blocks"), F.col("_node").alias("node"))
     large_members = written(large_members, "near-large")
-    tasks = groups.unionByName(large_members).withColumn("side", F.lit(2))
+    discard(members)
+    tasks = groups.unionByName(large_members).withColumn("side", F.lit(2).cast("long"))
 
     wanted = nodes.join(small, nodes["node"] == small["_node"], "left_semi").select("node", F.col("id").alias("_id"), F.col("th").alias("_th"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     texts = texts.join(wanted, (F.coalesce(texts["doc_id"], F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(texts["text"]) == F.col("_th"))).select("node", "text")
-    payload = written(payloads(texts, size), "near-payloads").withColumnRenamed("node", "_pnode")
-    with_payload = lambda df: df.join(payload, df["node"] == payload["_pnode"])
-    links = written(_verified(with_payload(tasks), percent, n), "near-links")
+    stored = written(payloads(texts, size), "near-payloads")
+    payload = stored.withColumnRenamed("node", "_pnode").withColumn("n", (F.octet_length("shingles") / 6).cast("long"))
+    with_payload = lambda df, *columns: df.join(payload.select("_pnode", *columns), df["node"] == F.col("_pnode"))
+    links = written(verified(with_payload(tasks, "sig", "n", "shingles"), percent, n), "near-links")
+    discard(small)
     found = connected_components(links)
 
     # buckets of several blocks: what lies outside the bucket's largest component meets the other blocks
     several = large_members.filter("blocks > 1")
-    if several.limit(1).count():
-        labelled = several.join(found.withColumnRenamed("node", "_n"), several["node"] == F.col("_n"), "left").select("grp", "part", "blocks", "node", F.coalesce("root", "node").alias("root"))
+    if not several.isEmpty():
+        several = several.join(found.withColumnRenamed("node", "_n"), several["node"] == F.col("_n"), "left")
+        labelled = written(several.select("grp", "part", "blocks", "node", F.coalesce("root", "node").alias("root")), "near-labelled")
         counts = labelled.groupBy("grp", "root").agg(F.count("*").alias("c"))
-        largest = counts.groupBy("grp").agg(F.max(F.struct("c", "root")).alias("top")).select(F.col("grp").alias("_grp"), F.col("top.root").alias("_top"))
-        marked = written(labelled.join(largest, labelled["grp"] == largest["_grp"]).select("grp", "part", "blocks", "node", (F.col("root") != F.col("_top")).alias("outside")), "near-marked")
+        largest = counts.groupBy("grp").agg(F.max_by("root", "c").alias("_top"), F.sum("c").alias("_c")).withColumnRenamed("grp", "_grp")
+        n_labelled = labelled.count()
+        marked = weighed_join(labelled, largest, ("grp", "_grp"), "_c", n_labelled)
+        marked = written(marked.select("grp", "part", "blocks", "node", (F.col("root") != F.col("_top")).alias("outside")), "near-marked")
+        discard(labelled)
         others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-        outer = marked.filter("outside").select("grp", F.col("part").alias("home")).distinct().withColumnsRenamed({"grp": "_g", "home": "home"})
         # group (i, j): every node of block i on side 0, those of block j outside the largest component on side 1
-        first = marked.join(outer, marked["grp"] == outer["_g"]).filter("part <> home").select("grp", (F.col("part") * F.col("blocks") + F.col("home")).alias("part"), F.lit(0).alias("side"), "node")
-        second = marked.filter("outside").select("grp", "blocks", "node", F.col("part").alias("home"), F.explode(others).alias("i")).filter("i <> home").select("grp", (F.col("i") * F.col("blocks") + F.col("home")).alias("part"), F.lit(1).alias("side"), "node")
-        more = written(_verified(with_payload(first.unionByName(second)), percent, n), "near-links")
-        found = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-    nodes_root = found.withColumnRenamed("node", "_node")
-    named = nodes.select("node", "set", "id").join(nodes_root, nodes["node"] == F.col("_node"), "left").select("set", "id", F.coalesce("root", "node").alias("root"))
-    named = written(named, "near-named")
-    lowest = named.groupBy("root").agg(F.min("id").alias("lowest")).withColumnRenamed("root", "_root")
-    of_set = named.join(lowest, named["root"] == F.col("_root")).select(F.col("set").alias("_set"), F.when(F.col("lowest") != NO_ID, F.col("lowest")).alias("component_id"))
-    out = rows.join(of_set, rows["node"] == of_set["_set"], "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        outer = marked.groupBy("grp").agg(F.collect_set(F.when(F.col("outside"), F.col("part"))).alias("homes"), F.count("*").alias("_c")).withColumnRenamed("grp", "_g")
+        first = weighed_join(marked, outer, ("grp", "_g"), "_c", n_labelled).select("grp", "part", "blocks", "node", F.explode("homes").alias("home"))
+        first = first.filter("part <> home").select("grp", (F.col("part") * F.col("blocks") + F.col("home")).alias("part"), F.lit(0).cast("long").alias("side"), "node")
+        second = marked.filter("outside").select("grp", "blocks", "node", F.col("part").alias("home"), F.explode(others).alias("i")).filter("i <> home")
+        second = second.select("grp", (F.col("i") * F.col("blocks") + F.col("home")).alias("part"), F.lit(1).cast("long").alias("side"), "node")
+        alive = written(surviving(with_payload(first.unionByName(second), "sig", "n"), percent, n), "near-alive")
+        more = written(verified(with_payload(alive, "sig", "n", "shingles"), percent, n), "near-links")
+        joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        discard(marked, alive, more, found)
+        found = joined
+    discard(links, large_members, stored)
+
+    named = nodes.select("node", "set", "id", "row", "copies").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    named = written(named.select("set", "id", "row", "copies", F.coalesce("root", "node").alias("root")), "near-named")
+    discard(nodes, found)
+    lowest = named.groupBy("root").agg(F.min("id").alias("lowest"), F.min_by("row", "id").alias("stay"), F.count("*").alias("members")).withColumnRenamed("root", "_root")
+    of_set = weighed_join(named, lowest, ("root", "_root"), "members", n_nodes).select(F.col("set").alias("_set"), "copies", F.when(F.col("lowest") != NO_ID, F.col("lowest")).alias("component_id"), "stay")
+    of_set = written(of_set, "near-of-set")
+    discard(named)
+    out = weighed_join(rows, of_set, ("node", "_set"), "copies", n_rows, "left")
+    alone = F.col("node").isNull()
+    return out.select("doc_id", "th", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("stay"))).alias("stays"), alone.alias("alone"))
 
 
 def drop_near(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one of smallest doc_id; all columns stay."""
-    kept = near_groups(docs, size, percent).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """``docs`` with one row of each group of near copies, one of smallest doc_id; rows without shingles and all columns stay.
+
+    Rows are known by doc_id and a hash of the text; of rows that agree in both, one is taken.
+    """
+    found = written(_grouped(docs, size, percent, BLOCK, BLOCK_BYTES), "near-decisions")
+    key = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    stay = found.filter("stays")
+    repeated = found.filter("NOT alone").groupBy("doc_id", "th").agg(F.count("*").alias("times")).filter("times > 1")
+    same = lambda df: docs.join(df, docs["doc_id"].eqNullSafe(df["_id"]) & (F.xxhash64(docs["text"].cast("string")) == df["_th"]), "left_semi")
+    if repeated.isEmpty():
+        return same(key(stay))
+    repeated = key(repeated)
+    is_repeated = stay["doc_id"].eqNullSafe(repeated["_id"]) & (stay["th"] == repeated["_th"])
+    once, many = (same(key(stay.join(repeated, is_repeated, how))) for how in ("left_anti", "left_semi"))
+    one = many.groupBy(F.col("doc_id").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_th")).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    return once.unionByName(one.select("_row.*"))

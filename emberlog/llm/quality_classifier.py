@@ -7,33 +7,38 @@ softmax over two classes gives the score.  Vectors and output weights are
 trained together by numpy stochastic gradient descent, a document a step, with a
 falling rate.  Case and punctuation stay in the words, since they tell quality.
 
-Fitting takes a bounded sample of labelled rows outside the held-out fold
-(``SAMPLE`` rows, at most ``KEPT_FEATURES`` buckets of each).  Scoring covers all
-rows and whole texts: as the output is linear in the average, each bucket
-reduces to one number and each distinct word to a sum and a count.
+Fitting takes a bounded sample of labelled documents outside the held-out fold
+(``SAMPLE``), with all features of their whole texts; what reaches the driver is
+at most ``SAMPLE`` times ``BUCKETS`` counts.  Scoring covers all rows and whole
+texts: as the output is linear in the average, each bucket reduces to one number
+and each distinct word to a sum and a count.
 
 Null and empty texts have no features and get the prior as the output layer has
-it.  Without labelled rows every score is 0.5.  Repeated rows each return a row,
-an empty table none; other columns are ignored.
+it; very long ones count whole.  Without labelled rows every score is 0.5.
+Documents whose ids hash alike come in the order of their ids.  Repeated rows
+each return a row, an empty table none; other columns are ignored, and stay in
+:func:`keep_good`, which decides on each row by its own text.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled_sample
-from .word_table import ChunkTable, segment_sums, slices, split_words, worker_table
+from .store import discard
+from .word_table import ChunkTable, segment_sums, slices, split_words, text_slices, worker_table
 
 SAMPLE = 3000
-KEPT_FEATURES = 8192
 BUCKETS = 1 << 16
 DIM = 8
 GRAMS = (3, 4)
@@ -56,18 +61,16 @@ def repeats(words: list[bytes]) -> int:
 
 
 def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, shares) of a text; the most frequent ``KEPT_FEATURES`` of very long ones."""
+    """(buckets, shares) of a text."""
     words = text.split()
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    found = np.fromiter(chain.from_iterable(map(word_features, words)), np.int32)
-    counts = np.bincount(found, minlength=BUCKETS)
+    counts = np.zeros(BUCKETS, np.int64)
+    for word, n in Counter(words).items():
+        np.add.at(counts, word_features(word), n)
     counts[REPEAT] = repeats(words)
-    total = counts.sum()
     buckets = np.flatnonzero(counts)
-    if len(buckets) > KEPT_FEATURES:
-        buckets = np.sort(buckets[np.argsort(-counts[buckets], kind="stable")[:KEPT_FEATURES]])
-    return buckets.astype(np.int32), (counts[buckets] / total).astype(np.float32)
+    return buckets.astype(np.int32), (counts[buckets] / counts.sum()).astype(np.float32)
 
 
 class SubwordModel:
@@ -107,20 +110,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 found = [document_features(t) for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float32())), part.column(2)], names=["doc_id", "buckets", "shares", "label"])
+                columns = [[b.astype("<u2").tobytes() for b, _ in found], [s.astype("<f4").tobytes() for _, s in found]]
+                yield pa.record_batch([part.column(0), *(pa.array(c, pa.binary()) for c in columns), part.column(2)], names=["doc_id", "buckets", "shares", "label"])
 
-    rows = labelled_sample(docs, labels, label, sample).mapInArrow(features, "doc_id long, buckets array<int>, shares array<float>, label int").toArrow().sort_by("doc_id")
+    chosen = labelled_sample(docs, labels, label, sample)
+    rows = chosen.mapInArrow(features, "doc_id long, buckets binary, shares binary, label int").toArrow().sort_by("doc_id")
+    discard(chosen)
     model = SubwordModel()
-    found = [(b.values.to_numpy(), s.values.to_numpy()) for b, s in zip(rows["buckets"], rows["shares"], strict=True)]
+    found = [(np.frombuffer(b.as_buffer(), "<u2"), np.frombuffer(s.as_buffer(), "<f4")) for b, s in zip(rows["buckets"], rows["shares"], strict=True)]
     return model.fit(found, rows["label"].to_pylist()) if found else model
 
 
-def score(docs: DataFrame, model: SubwordModel, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted."""
-    spark = docs.sparkSession
-    shared, version = spark.sparkContext.broadcast(model.margins()), uuid.uuid4().hex
+def _scorer(docs: DataFrame, model: SubwordModel) -> Callable[[pa.StringArray], np.ndarray]:
+    """A function that tasks of ``docs`` may call for the scores of texts."""
+    shared, version = docs.sparkSession.sparkContext.broadcast(model.margins()), uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(texts: pa.StringArray) -> np.ndarray:
         margins, bias = shared.value
 
         def fill(words: list[str]) -> list[tuple[float, int]]:
@@ -131,20 +136,36 @@ def score(docs: DataFrame, model: SubwordModel, threshold: float = THRESHOLD) ->
             return list(zip(np.add.reduceat(flat, np.r_[0, np.cumsum(counts)[:-1]]).tolist(), counts.tolist(), strict=True))
 
         table = worker_table(("quality",), lambda: ChunkTable(fill), version)
+        words = split_words(texts)
+        values = np.array(table.lookup(words.distinct.to_pylist()), float).reshape(-1, 2)
+        same = np.r_[words.codes[1:] == words.codes[:-1], False]
+        same[words.offsets[1:] - 1] = False  # the last word of a text, and of the one before empty ones
+        again = segment_sums(same.astype(np.int64), words.offsets)
+        totals, counts = words.sums(values[:, 0]) + again * margins[REPEAT], words.sums(values[:, 1]) + again
+        return 1 / (1 + np.exp(-totals / np.maximum(counts, 1) - bias))
+
+    return scores
+
+
+def score(docs: DataFrame, model: SubwordModel, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: doc_id, held_out, score, predicted."""
+    scores = _scorer(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            words = split_words(part.column(1))
-            values = np.array(table.lookup(words.distinct.to_pylist()), float).reshape(-1, 2)
-            same = np.r_[words.codes[1:] == words.codes[:-1], False]
-            same[words.offsets[1:] - 1] = False  # the last word of a text, and of the one before empty ones
-            again = segment_sums(same.astype(np.int64), words.offsets)
-            totals, counts = words.sums(values[:, 0]) + again * margins[REPEAT], words.sums(values[:, 1]) + again
-            yield pa.record_batch([part.column(0), pa.array(1 / (1 + np.exp(-totals / np.maximum(counts, 1) - bias)))], names=["doc_id", "score"])
+            yield pa.record_batch([part.column(0), pa.array(scores(part.column(1)))], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those the classifier rejects; all columns stay.  Rows that share a doc_id stay if any of them is accepted."""
-    good = score(docs, fit(docs, labels)).filter("predicted = 1").select(F.col("doc_id").alias("_good_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_good_id"]), "left_semi")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; all columns stay.  Rows are filtered where they are read."""
+    scores, at = _scorer(docs, fit(docs, labels)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, at):
+            texts = pc.fill_null(part.column(at).cast(pa.string()), "")
+            yield part.filter(pa.array(scores(texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

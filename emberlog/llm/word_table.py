@@ -108,20 +108,25 @@ def worker_table(key: tuple, make: Callable[[], object], version: str = ""):
     return _tables[key][1]
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches whose second column is text, in parts of about ``SLICE_BYTES`` of it; null texts become empty."""
+def text_slices(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose column ``at`` is text, in parts of about ``SLICE_BYTES`` of it; the rows stay as they are."""
     for batch in batches:
-        texts = batch.column(1)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy().astype(np.int64))
+        start, n = 0, batch.num_rows
+        while start < n:
+            before = size[start - 1] if start else 0
+            to = min(max(start + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right"))), start + SLICE_ROWS, n)
+            yield batch.slice(start, to - start)
+            start = to
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Such parts of batches whose second column is text; null texts become empty."""
+    for part in text_slices(batches, 1):
+        texts = part.column(1)
         if texts.null_count:
-            batch = pa.RecordBatch.from_arrays([batch.column(0), pc.fill_null(texts, ""), *batch.columns[2:]], names=batch.schema.names)
-            texts = batch.column(1)
-        size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
-        at, n = 0, batch.num_rows
-        while at < n:
-            before = size[at - 1] if at else 0
-            to = min(max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right"))), at + SLICE_ROWS, n)
-            yield batch.slice(at, to - at)
-            at = to
+            part = pa.RecordBatch.from_arrays([part.column(0), pc.fill_null(texts, ""), *part.columns[2:]], names=part.schema.names)
+        yield part
 
 
 def byte_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:

@@ -31,21 +31,41 @@ def by_hand(rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     for i, t in rows:
         groups[norm(t)].append(i)
-    out = []
+    out, stayed = [], set()
     for i, t in rows:
         own = groups[norm(t)]
         keep = min((x for x in own if x is not None), default=None)
-        out.append((i, keep, len(own), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+        stays = i == keep and norm(t) not in stayed
+        if stays:
+            stayed.add(norm(t))
+        out.append((i, keep, len(own), stays, hashlib.sha256(norm(t).encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [exact_dedup.TABLE_BYTES, 500])
-def test_exact(spark, limit):
-    got = exact_dedup.exact_groups(table(spark, EXACT).repartition(3), table_bytes=limit)
-    assert sorted((tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in got.collect()), key=repr) == by_hand(EXACT)
-    assert exact_dedup.exact_groups(table(spark, EXACT).limit(0)).count() == 0
-    kept = exact_dedup.drop_exact(table(spark, EXACT))
-    assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [1, 4, 5, 7, 9, 9, 10, 12] and kept.columns == table(spark, EXACT).columns
+#: A third of the rows are one text, ids repeat with equal and with other texts, and each text has many copies.
+COPIES = [(2, "a"), (2, "b"), (1, "b"), (7, "z"), (7, "z"), (None, "n"), (None, "n"), (None, None), *((100 - k // 2, "hot  text" if k % 3 else "hot text") for k in range(40)), *((200 + k, f"t {k % 6} " * 30) for k in range(60))]
+
+
+@pytest.mark.parametrize("rows", [EXACT, COPIES])
+@pytest.mark.parametrize("limit,hot", [(exact_dedup.TABLE_BYTES, exact_dedup.HOT_BYTES), (500, exact_dedup.HOT_BYTES), (500, 200)])
+def test_exact(spark, rows, limit, hot):
+    df = table(spark, rows).repartition(3)
+    got = exact_dedup.exact_groups(df, table_bytes=limit, hot_bytes=hot)
+    assert sorted((tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in got.collect()), key=repr) == by_hand(rows)
+    kept = exact_dedup.drop_exact(df, table_bytes=limit, hot_bytes=hot)
+    assert kept.columns == df.columns and kept.dtypes == df.dtypes
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    found = sorted(((r.doc_id, norm(r.text), r.entry, r.doc) for r in kept.collect()), key=repr)
+    groups = {}
+    for i, t in rows:
+        least = groups.get(norm(t))
+        groups[norm(t)] = i if least is None else least if i is None else min(i, least)
+    assert found == sorted(((i, t, "clash", 0) for t, i in groups.items()), key=repr)
+
+
+def test_exact_without_rows(spark):
+    none = table(spark, EXACT).limit(0)
+    assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_exact(none).count() == 0
 
 
 @pytest.mark.parametrize("name", ["op3_exact_dedup", "op7_near_dedup"])
@@ -61,8 +81,8 @@ def test_grace_recursion_and_probing(tmp_path):
     records = []
     for k in range(400):
         text = f"text {k % 90} ".encode() * 20
-        records.append((hashlib.sha256(text).digest(), k, 1, 1000 - k, text))
-    got = {e: (least, n) for e, least, n in exact_dedup.grace(iter(records), f"file://{tmp_path}/spill", limit=3000)}
+        records.append((hashlib.sha256(text).digest(), k, 1, 1000 - k, k, text))
+    got = {e: (least, n) for _, _, (n, least, _), own in exact_dedup.grace(iter(records), f"file://{tmp_path}/spill", limit=3000) for e in own}
     for k in range(400):
         same = [j for j in range(400) if j % 90 == k % 90]
         assert got[k] == (1000 - max(same), len(same))
@@ -143,8 +163,36 @@ def test_near_repeats_and_empties(spark):
     got = near_dedup.near_groups(table(spark, rows)).collect()
     assert sorted((x.doc_id or 0, x.component_id or 0, x.kept) for x in got) == [(0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False)]
     assert near_dedup.near_groups(table(spark, rows).limit(0)).count() == 0
-    kept = near_dedup.drop_near(table(spark, rows[:3]))
-    assert [r.doc_id for r in kept.collect()] == [1, 1] and kept.columns == table(spark, rows).columns
+    assert near_dedup.drop_near(table(spark, rows).limit(0)).count() == 0
+
+
+def test_near_leaves_one_row_of_each_group(spark):
+    r = random.Random(3)
+    a, b, c = (family(r, 4, 200, 3) for _ in range(3))
+    rows = [(5, a[0]), (5, a[0]), (5, a[1]), (9, a[2]), (2, b[0]), (2, b[0]), (2, b[0]), (1, c[0]), (3, b[1]), (None, c[1]), (None, c[1]), (None, None), (None, None), (8, ""), (8, "")]
+    df = table(spark, rows).repartition(3)
+    got = near_dedup.drop_near(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    kept = [(x.doc_id, x.text) for x in got.collect()]
+    assert sorted((i for i, t in kept if t), key=repr) == [1, 2, 5] and sorted((x for x in kept if not x[1]), key=repr) == [(8, ""), (8, ""), (None, None), (None, None)]
+    assert {t for i, t in kept if i == 5} <= set(a) and (2, b[0]) in kept
+
+
+def test_blocks_bounded_by_bytes(spark):
+    r = random.Random(8)
+    rows = list(enumerate(family(r, 30, 2000, 40) + family(r, 12, 300, 5)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_groups(table(spark, rows).repartition(3), 3, 85, block_bytes=40_000).collect()}
+    assert got == near_by_hand(rows, 3, 85)
+
+
+def test_hubs(spark, monkeypatch):
+    """Every join sends its heavy keys by broadcast."""
+    from emberlog.llm import joins
+
+    monkeypatch.setattr(joins, "HEAVY", 4)
+    links = [(0, k) for k in range(1, 300)] + [(k, 1000 + k % 3) for k in range(1, 200)] + [(5000, k) for k in range(5001, 5040)]
+    got = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {x: root for x, root in components_by_hand(links).items() if x != root}
 
 
 def test_packed_sets():
