@@ -104,7 +104,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sets(part: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
+def shingle_sets(part: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
+    """The shingle set of each text in the second column."""
     words = split_words(part.column(1))
     table = worker_table(("shingle-words",), lambda: ChunkTable(lambda ws: [xxhash.xxh64_intdigest(_lower(w)) for w in ws], KEPT_WORDS))
     values = np.array(table.lookup(words.distinct.to_pylist()), np.uint64)[words.codes] if len(words.distinct) else np.empty(0, np.uint64)
@@ -125,7 +126,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         for part in slices(batches):
             n, nodes, keys = [], [], []
-            for s in _sets(part, size):
+            for s in shingle_sets(part, size):
                 n.append(len(s))
                 node = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 nodes.append(node)
@@ -147,7 +148,7 @@ def payloads(texts: DataFrame, size: int) -> DataFrame:
         seen: set[int] = set()  # equal rows of a document with no id of its own
         for part in slices(batches):
             nodes, sigs, sets = [], [], []
-            for node, s in zip(part.column(0).to_pylist(), _sets(part, size), strict=True):
+            for node, s in zip(part.column(0).to_pylist(), shingle_sets(part, size), strict=True):
                 if node not in seen:
                     seen.add(node)
                     nodes.append(node)

@@ -9,8 +9,10 @@ over the roomiest sequences, so a window pads fewer than ``capacity`` tokens in
 all, and every id lies in exactly one piece.
 
 Windows are parts of a task's own rows: there is no shuffle, memory is bounded
-by the window, and a lost task is repeated alone.  Null or empty texts are the
-end id alone; repeated rows are packed as often as they occur; an empty table
+by the window, and a lost task is repeated alone.  Of sequences that cost the
+same, the one that was opened first among those of least room is taken; documents of one
+length go in the order they are read.  Null or empty texts are the end id alone,
+very long ones are cut over many sequences; repeated rows are packed as often as they occur; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -63,7 +65,7 @@ class OpenSequences:
     def cheapest(self, need: int) -> int | None:
         """The room of the lowest-cost sequence that has ``need`` left; None if there is none."""
         tree, best, node = self.tree, self.none, 0
-        low, high = self.leaves + need, 2 * self.leaves
+        low, high, above = self.leaves + need, 2 * self.leaves, []
         while low < high:
             if low & 1:
                 if tree[low] < best:
@@ -71,9 +73,11 @@ class OpenSequences:
                 low += 1
             if high & 1:
                 high -= 1
-                if tree[high] < best:
-                    best, node = tree[high], high
+                above.append(high)
             low, high = low >> 1, high >> 1
+        for k in reversed(above):  # by rising room
+            if tree[k] < best:
+                best, node = tree[k], k
         if not node:
             return None
         while node < self.leaves:

@@ -13,7 +13,8 @@ take those of their language, then of the corpus.  A spread of a language is hal
 the corpus's at least; a corpus without spread sets no bound.  Rows then join
 their group's thresholds, and the verdict is kept unless a measure lies beyond.
 
-Null texts count as empty: no words, so ``base_failed``.  Null languages and
+Null texts count as empty: no words, so ``base_failed``.  Very long texts are
+measured whole; a measure equal to its threshold stays.  Null languages and
 sources are groups of their own.  Repeated rows each return a row, an empty
 table none; other columns are ignored.
 """

@@ -14,8 +14,9 @@ addresses (those around a key, too) and their parts, long words, numbers and
 placeholders, and blocks of private keys against certificates, public keys and
 mentions.
 
-Null and empty texts have no candidates.  Positions count code points.  Equal
-candidates in one text are findings each.  Repeated rows each return a row, an
+Null and empty texts have no candidates; very long ones are scanned whole, and
+very long candidates described whole.  Positions count code points.  Equal
+candidates in one text are findings each; a score equal to the threshold is a secret.  Repeated rows each return a row, an
 empty table none; other columns stay in :func:`redact` and are ignored elsewhere.
 """
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .word_table import ChunkTable, Runs, slices, split_words, worker_table
+from .word_table import ChunkTable, Runs, parts_at_space, parts_letters, slices, split_words, worker_table
 
 LIMIT = 2048
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -49,9 +49,9 @@ class MergeCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        kinds = [p["type"] for p in spec["pre_tokenizer"]["pretokenizers"]]
-        if model["type"] != "BPE" or not model["end_of_word_suffix"] or kinds != ["Split", "ByteLevel"]:
-            raise ValueError("a byte-level BPE model with word ends is needed")
+        if model["type"] != "BPE" or not model["end_of_word_suffix"] or not parts_at_space(spec):
+            raise ValueError("a byte-level BPE model with word ends, over words parted at white space, is needed")
+        self.by_runs = parts_letters(spec)
         self.end = model["end_of_word_suffix"]
         rules = Tokenizer.from_file(path)
         self.normaliser, self.words = rules.normalizer, rules.pre_tokenizer
@@ -117,13 +117,15 @@ class MergeCounter:
         if self.special is not None and (total := len(self.special.findall(text))):
             pieces = self.special.split(text)
         for piece in pieces:
-            for word, _ in self.words.pre_tokenize_str(self.normaliser.normalize_str(piece)):
+            for word, _ in self.words.pre_tokenize_str(self.normaliser.normalize_str(piece) if self.normaliser else piece):
                 total += self.merge(bytes(map(self.of_shown.__getitem__, word)))
         return total
 
     def count(self, texts: pa.StringArray) -> np.ndarray:
         """Tokens of each text."""
         words = split_words(texts)
+        if not self.by_runs:
+            return words.sums(np.array(self.whole.lookup(words.distinct.to_pylist()), np.int64))
         runs = Runs(words.distinct)
         values = np.zeros(len(words.distinct), np.int64)
         cores, tails, whole = (np.array(t.lookup(x), np.int64) for t, x in ((self.cores, runs.cores), (self.whole, runs.tails), (self.whole, runs.whole)))

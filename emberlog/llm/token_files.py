@@ -9,8 +9,8 @@ first id.
 
 Rows go to the files in ascending doc_id (null first; repeated doc_ids by a
 hash of the text); repeated rows are written as often as they occur.  A null or
-empty text gives the end id alone, an empty table no file and no rows.  Other
-columns are ignored.
+empty text gives the end id alone, a very long one runs on over as many sequences
+as it needs; an empty table gives no file and no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,21 +92,35 @@ class TokenFileWriter:
 
 
 class TokenFile:
-    """Random access to one file by a memory map (local paths) or ranged reads."""
+    """Random access to one file by a memory map (local paths) or ranged reads: all batches but the last have one size."""
 
     def __init__(self, uri: str):
         fs, path = filesystem(uri)
-        local = fs.type_name == "local"
-        self.source = pa.memory_map(path + ".arrows") if local else fs.open_input_file(path + ".arrows")
-        self.batches = list(pa.ipc.open_stream(self.source)) if local else pa.ipc.open_stream(self.source).read_all().to_batches()
+        self.source = pa.memory_map(path + ".arrows") if fs.type_name == "local" else fs.open_input_file(path + ".arrows")
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.source))
+        self.begin = self.source.tell()
+        self.held = 0, self._read(self.begin)
+        self.step = self.source.tell() - self.begin
+        # a stream ends with eight bytes that are no batch
+        self.last = max(-(-(self.source.size() - 8 - self.begin) // self.step) - 1, 0)
+        self.n = self.last * SEQUENCES_A_BATCH + self._batch(self.last).num_rows
+
+    def _read(self, at: int) -> pa.RecordBatch:
+        self.source.seek(at)
+        return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+
+    def _batch(self, k: int) -> pa.RecordBatch:
+        if self.held[0] != k:
+            self.held = k, self._read(self.begin + k * self.step)
+        return self.held[1]
 
     def __len__(self) -> int:
-        return sum(b.num_rows for b in self.batches)
+        return self.n
 
     def _find(self, i: int) -> tuple[pa.RecordBatch, int]:
         if not 0 <= i < len(self):
             raise IndexError(i)
-        return self.batches[i // SEQUENCES_A_BATCH], i % SEQUENCES_A_BATCH
+        return self._batch(i // SEQUENCES_A_BATCH), i % SEQUENCES_A_BATCH
 
     def sequence(self, i: int) -> np.ndarray:
         """Sequence ``i``, a view of the file where that is mapped."""
@@ -122,12 +136,21 @@ class TokenFile:
         return column.values.slice((column.offset + k) * n, n)
 
 
+def largest_id(tokenizer_path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values())
+
+
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, length: int = SEQUENCE_LENGTH, dtype: str = "uint16", partitions: int | None = None) -> DataFrame:
     """Write ``docs`` below ``out`` and return a row (part, path, n_docs, n_tokens) for each file, parts in doc_id order.
 
-    ``dtype`` must hold the vocabulary's largest id.  One shuffle, by ranges of
-    doc_id; ids are made after it, so that only texts move.
+    ``dtype`` must hold the vocabulary's largest id, else this raises.  One
+    shuffle, by ranges of doc_id; ids are made after it, so that only texts move.
     """
+    most = max(end_id, largest_id(tokenizer_path))
+    if most > np.iinfo(dtype).max:
+        raise ValueError(f"{dtype} does not hold the id {most}")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fs, base = filesystem(out)
     fs.create_dir(base, recursive=True)

@@ -63,6 +63,48 @@ def test_token_files_empty(spark, table, tmp_path):
     assert files == [] and out.count() == 0 and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_token_file_reads_ranges(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    ids = np.arange(20_000, dtype="<u4") % 60_000
+    writer = token_files.TokenFileWriter(fs.LocalFileSystem(), f"{tmp_path}/part", 16, "uint16")
+    for at in range(0, len(ids), 700):
+        writer.add(at, ids[at : at + 700])
+    writer.close()
+    mapped = token_files.TokenFile(f"file://{tmp_path}/part")
+    remote = fs.SubTreeFileSystem("/", fs.LocalFileSystem())
+    monkeypatch.setattr(token_files, "filesystem", lambda uri: (remote, uri.removeprefix("file://")))
+    ranged = token_files.TokenFile(f"file://{tmp_path}/part")
+    assert len(mapped) == len(ranged) == 1250 and not isinstance(ranged.source, pa.MemoryMappedFile)
+    for k in (0, 1249, 63, 64, 700, 1215, 1216):
+        assert mapped.sequence(k).tolist() == ranged.sequence(k).tolist() == ids[16 * k : 16 * k + 16].tolist() and not mapped.sequence(k).flags.owndata
+
+
+def test_token_ids_must_fit(table, tmp_path):
+    with pytest.raises(ValueError, match="uint8"):
+        token_files.write_token_files(table, f"file://{tmp_path}/small", WORD, end_id=2, dtype="uint8")
+
+
+def test_other_tokenizer_rules(tmp_path, library):
+    """Without lower-casing, chunks go through the library whole; tokenizers that join over white space are refused."""
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "NFC"}
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    cased = Tokenizer.from_file(str(tmp_path / "cased.json"))
+    counter, tokens = token_counts.MergeCounter(str(tmp_path / "cased.json")), JsonTokens(str(tmp_path / "cased.json"))
+    many = [t for t in ODD if t.isascii()] + ["Stone hInTeR. ÉCOLE!!"]
+    ids, offsets = tokens.encode(pa.array(many))
+    for k, text in enumerate(many):
+        want = cased.encode(text, add_special_tokens=False).ids
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == want and counter.count(pa.array([text]))[0] == len(want)
+    for make in (JsonTokens, token_counts.MergeCounter):
+        with pytest.raises(ValueError, match="white space"):
+            make(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_counts(table, library):
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(table, WORD, limit=10).collect())
     want = sorted((i is not None, i or 0, len(t.encode()), n := len(library[0].encode(t, add_special_tokens=False).ids), n > 10) for i, t in texts(table))
@@ -168,6 +210,29 @@ def test_packing_plan(lengths):
         assert end <= 512
 
 
+def plan_by_hand(lengths, capacity, linear):
+    """Every choice by looking at every sequence."""
+    n = -(-sum(lengths) // capacity)
+    room, cost, out = [capacity] * n, [0] * n, []
+    work = [(min(capacity, length - at), k, at) for k, length in enumerate(lengths) for at in range(0, length, capacity)]
+    for length, k, at in sorted(work, key=lambda w: (-w[0], w[1], w[2])):
+        while length:
+            fits = [s for s in range(n) if room[s] >= length]
+            widest = max(room)
+            best = min(fits, key=lambda s: (cost[s], room[s], s)) if fits else min((s for s in range(n) if room[s] == widest), key=lambda s: (cost[s], s))
+            here = min(length, room[best])
+            out.append((k, at, here, best, capacity - room[best]))
+            room[best], cost[best] = room[best] - here, cost[best] + here * (linear + here)
+            length, at = length - here, at + here
+    return n, sorted(out, key=lambda p: (p[3], p[4]))
+
+
+@given(st.lists(st.integers(1, 300), min_size=1, max_size=60), st.sampled_from([1, 7, 6144]))
+@settings(max_examples=150, deadline=None)
+def test_packing_places_as_by_hand(lengths, linear):
+    assert packing.plan(lengths, 128, linear) == plan_by_hand(lengths, 128, linear)
+
+
 def test_packing_balances_cost():
     _, pieces = packing.plan([100, 90, 80, 70, 60, 112], capacity=256)
     first = {s for k, _, _, s, _ in pieces if k in (0, 5)}
