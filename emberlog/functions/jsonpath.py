@@ -53,6 +53,15 @@ def json_text(value: Column, keys: list[str]) -> Column:
     return F.get_json_object(value, spark_path(keys))
 
 
+_END = "emberlog-end"
+
+
+def one_value(value: Column) -> Column:
+    """Whether text is one JSON value and nothing more, by the JVM: put into an array, it has just one item before the mark that follows."""
+    marked = F.concat(F.lit("["), value, F.lit(f',"{_END}"]'))
+    return F.coalesce((F.get_json_object(marked, "$[1]") == _END) & ~value.contains(_END), F.lit(False))
+
+
 _decoder = json.JSONDecoder()
 _space = re.compile(r"[ \t\r\n]*")
 

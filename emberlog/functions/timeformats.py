@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,6 +96,17 @@ def _in_zone(read: Column, zone: str) -> Column:
     return read if zone == "UTC" else F.to_utc_timestamp(read, zone)
 
 
+def _needed(f: TimeFormat) -> str | None:
+    """A cheap pattern that any text of a built-in format has; None for others."""
+    if f.name not in NAMES:
+        return None
+    if "[JFMASOND]" in f.pattern or "(Jan|" in f.pattern:
+        return r"[JFMASOND][a-z]"
+    if f.layout in _NUMERIC:
+        return r"\A\s*\d{9}"
+    return r"\dT\d" if r"T\d" in f.pattern else r"\d:\d"
+
+
 BUILT_IN = {name: TimeFormat(name, pattern, layout) for name, pattern, layout in FORMATS}
 #: Reference layout elements and what they are on the JVM, longest first.
 _LAYOUT = (
@@ -206,14 +218,20 @@ class Grinder:
             hits = [F.struct(F.nullif(F.regexp_instr(value, F.lit(f.pattern)), F.lit(0)).alias("at"), F.lit(k).alias("k"), self._valid(f.read(f.located(value), self.zone, self._now())).alias("ts")) for k, f in enumerate(self.formats())]
             kept = F.filter(F.array(*hits), lambda h: h["at"].isNotNull() & h["ts"].isNotNull())
             return F.coalesce(*found, F.get(F.array_sort(kept), F.lit(0))["ts"])
-        for f in self.formats():
-            ts = self._valid(f.read(f.located(value), self.zone, self._now()))
-            if self.past is not None or self.future is not None:  # one outside the window: look further right
-                rest = F.regexp_extract_all(value, F.lit(f.pattern), F.lit(1 if f.layout in _NUMERIC else 0))
-                ts = F.coalesce(ts, F.get(F.filter(F.transform(rest, self._reader(f)), lambda t: t.isNotNull()), F.lit(0)))
-            found.append(ts)
+        # formats in order; those side by side that need the same thing are passed over together where it is missing
+        for needed, some in groupby(self.formats(), key=_needed):
+            one = F.coalesce(*(self._read_one(f, value) for f in some))
+            found.append(one if needed is None else F.when(value.rlike(needed), one))
         return F.coalesce(*found)
 
+    def _read_one(self, f: TimeFormat, value: Column) -> Column:
+        ts = self._valid(f.read(f.located(value), self.zone, self._now()))
+        if self.past is None and self.future is None:
+            return ts
+        # one outside the window: look further right
+        rest = F.regexp_extract_all(value, F.lit(f.pattern), F.lit(1 if f.layout in _NUMERIC else 0))
+        return F.coalesce(ts, F.get(F.filter(F.transform(rest, self._reader(f)), lambda t: t.isNotNull()), F.lit(0)))
+
     def match(self, value: Column) -> Column:
         """(start, end) of the first format's match, from 0; null if none matches.  Nothing is read."""
         spans = [F.when(f.located(value).isNotNull(), F.struct((F.instr(value, f.located(value)) - 1).alias("start"), (F.instr(value, f.located(value)) - 1 + F.length(f.located(value))).alias("end"))) for f in self.formats()]

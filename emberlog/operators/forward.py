@@ -5,6 +5,9 @@ from __future__ import annotations
 import importlib.util
 import socket
 import ssl
+import time
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -13,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..entry import text
+from ..entry import ev, ev_upsert, text
 from ..functions.net import ipv4_text
 from ..functions.regexes import Pattern
 from .filters import source_filter, tag_selector
@@ -44,7 +47,8 @@ def _time() -> Column:
 class Forwarder:
     """What goes to a socket: entries of some tags, that any pattern matches, from any of some networks; the pipeline's output is unchanged.
 
-    ``send`` is an action for a batch or a micro-batch (``foreachBatch``).
+    ``send`` is an action for a batch or a micro-batch; ``Pipeline.run`` and
+    ``Pipeline.stream`` take it where the stage stands.
     """
 
     target: str
@@ -161,7 +165,20 @@ class RingBuffer:
 
     def read(self, spark) -> DataFrame:
         """What it holds, oldest first."""
-        return spark.read.parquet(self.path).orderBy("ts", "nsec_rem")
+        return spark.read.parquet(f"{self.path}/part-*").orderBy("ts", "nsec_rem")
+
+    def pop(self, spark) -> DataFrame:
+        """What it holds, oldest first, taken out of it: the files move aside, and stay there for this reader."""
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        aside = f"{self.path}/_taken-{uuid.uuid4().hex}"
+        fs.mkdirs(path(aside))
+        schema = spark.read.parquet(f"{self.path}/part-*").schema
+        for f in fs.listStatus(path(self.path)):
+            if (name := f.getPath().getName()).startswith("part-"):
+                fs.rename(f.getPath(), path(f"{aside}/{name}"))
+        return spark.read.schema(schema).parquet(aside).orderBy("ts", "nsec_rem")
 
 
 def plugin(process: Callable[[pd.DataFrame], pd.DataFrame], flush: Callable[[], pd.DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -195,6 +212,36 @@ def tolerant_plugin(process: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable
     return stage
 
 
+def cached_lookup(resolve: Callable[[list[str]], list[str | None]], key: Column, name: str, most: int = 100_000, seconds: float = 3600.0) -> Callable[[DataFrame], DataFrame]:
+    """An attribute ``name`` with what ``resolve`` (many keys a call) gives for each entry's key.
+
+    A task asks once for a key within ``seconds`` and keeps ``most`` answers, the
+    latest used; keys without an answer are remembered too.  Entries without key
+    or answer stay as they are.
+    """
+
+    def stage(df: DataFrame) -> DataFrame:
+        @F.pandas_udf("string")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known: OrderedDict[str, tuple[float, str | None]] = OrderedDict()
+            for keys in batches:
+                now = time.monotonic()
+                fresh = [k for k in keys.dropna().unique() if k not in known or now - known[k][0] > seconds]
+                answers = dict(zip(fresh, resolve(fresh), strict=True)) if fresh else {}
+                found = {k: answers[k] if k in answers else known[k][1] for k in keys.dropna().unique()}
+                for k, v in found.items():
+                    known[k] = (now, v) if k in answers else known[k]
+                    known.move_to_end(k)
+                while len(known) > most:
+                    known.popitem(last=False)
+                yield keys.map(found, na_action="ignore")
+
+        out = df.withColumn("_answer", run(key.cast("string")))
+        return out.withColumn("evs", F.when(F.col("_answer").isNotNull(), ev_upsert(F.col("evs"), ev(name, F.col("_answer")), name)).otherwise(F.col("evs"))).drop("_answer")
+
+    return stage
+
+
 def load_plugin(path: str, config: dict) -> Callable[[DataFrame], DataFrame]:
     """A Python file with ``process(batch)``, and perhaps ``config(values)`` and ``flush()``."""
     spec = importlib.util.spec_from_file_location("emberlog_user_plugin", path)

@@ -66,17 +66,26 @@ def graph(df: DataFrame, source: Column, target: Column, value: Column | None =
 
 
 def dense_ids(df: DataFrame, key: str, id_column: str = "id") -> DataFrame:
-    """Rows numbered from 0 by a unique key: sorted ranges, numbered within and offset by the counts before them."""
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"_p": F.shiftright("_m", 33), "_k": F.col("_m").bitwiseAND((1 << 33) - 1)})
-    ranged = ranged.persist()
-    counts = sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect())  # one row a partition
-    at, offsets = 0, []
-    for p, n in counts:
-        offsets.append((p, at))
-        at += n
-    table = df.sparkSession.createDataFrame(offsets, "_p long, _o long")
-    return ranged.join(F.broadcast(table), "_p").select((F.col("_k") + F.col("_o")).alias(id_column), *df.columns)
+    """Rows numbered from 0 by a unique key.
+
+    One job finds the least key and the count of each sorted range, a row a
+    partition; these bounds, which hold for any later run, then deal the rows,
+    which are numbered within their range and offset by the counts before it.
+    """
+    from pyspark.sql.window import Window
+
+    ranged = df.select(key).repartitionByRange(key)
+    found = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("least"), F.count("*").alias("n"))
+    bounds = sorted((r["least"], r["n"]) for r in found.collect())
+    if not bounds:
+        return df.select(F.lit(0).cast("bigint").alias(id_column), *df.columns)
+    starts = [sum(n for _, n in bounds[:k]) for k in range(len(bounds))]
+    least = F.array(*(F.lit(b) for b, _ in bounds))
+    # the number of the range: bounds are ascending
+    part = F.size(F.filter(least, lambda b: b <= F.col(key)))
+    offset = F.element_at(F.array(*(F.lit(s).cast("bigint") for s in starts)), F.col("_part"))
+    numbered = df.withColumn("_part", part).withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(key)).cast("bigint"))
+    return numbered.withColumn("_part", offset).select((F.col("_part") + F.col("_k") - 1).alias(id_column), *df.columns)
 
 
 def stackgraph(df: DataFrame, key: Column, label: Column, value: Column) -> DataFrame:
@@ -106,12 +115,13 @@ def point_to_point(df: DataFrame, source: tuple[Column, Column], target: tuple[C
 
 
 def explore(df: DataFrame) -> DataFrame:
-    """Entries with the words of their payload: (start, text), starts from 0."""
-    # what lies before the k-th word is the first k words with the gaps between them
+    """Entries with the words of their payload: (start, text), starts from 0; one pass carries the offset along."""
     words, gaps = F.regexp_extract_all(text(), F.lit(r"\S+"), F.lit(0)), F.split(text(), r"\S+", -1)
-    before = lambda k: F.aggregate(F.slice(F.col("_w"), 1, k), F.lit(0), lambda a, w: a + F.length(w)) + F.aggregate(F.slice(F.col("_g"), 1, k + 1), F.lit(0), lambda a, g: a + F.length(g))
+    none = F.array().cast("array<struct<start: int, text: string>>")
+    add = lambda a, x: F.struct((a["at"] + F.length(x["gap"]) + F.length(x["word"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), x["word"].alias("text")))).alias("out"))
+    pairs = F.transform("_w", lambda w, k: F.struct(F.get(F.col("_g"), k).alias("gap"), w.alias("word")))
     out = df.withColumns({"_w": words, "_g": gaps})
-    return out.select("ts", "tag", "data", F.transform("_w", lambda w, k: F.struct(before(k).alias("start"), w.alias("text"))).alias("elements"))
+    return out.select("ts", "tag", "data", F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda a: a["out"]).alias("elements"))
 
 
 def text_lines(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..entry import NO_EVS, check_tag, ev, ev_upsert, text
-from ..functions.jsonpath import is_json, json_text, quoted_slice, raw_items, raw_slice, split_paths, split_quoted
+from ..functions.jsonpath import is_json, json_text, one_value, quoted_slice, raw_items, raw_slice, split_paths, split_quoted
 from ..functions.net import ipv4_text
 from ..functions.regexes import Pattern
 from ..functions.templates import fill
@@ -75,9 +75,9 @@ class JsonExtract:
 
     def extract(self, value: str | None) -> str | None:
         """The new payload; null to drop."""
-        if value is None:
-            return None
-        paths = split_paths(self.extractions)
+        return None if value is None else self._extract(value, split_paths(self.extractions))
+
+    def _extract(self, value: str, paths: list[list[str]]) -> str | None:
         if self.drop_misses and not is_json(value):
             return None
         found = [(p[-1], s) for p in paths if (s := raw_slice(value, p)) is not None]
@@ -90,11 +90,28 @@ class JsonExtract:
         return "{" + ",".join(f'"{name}":{quoted_slice(s)}' for name, s in found) + "}"
 
     def __call__(self, df: DataFrame) -> DataFrame:
+        paths = split_paths(self.extractions)
+
         @F.pandas_udf("string")
         def run(values: pd.Series) -> pd.Series:
-            return values.map(self.extract)
+            return values.map(lambda v: self._extract(v, paths), na_action="ignore")
 
-        return df.withColumn("_out", run(text())).filter("_out IS NOT NULL").withColumn("data", F.col("_out").cast("binary")).drop("_out")
+        if len(paths) > 1 or self.force_object:
+            out = df.withColumn("_out", run(text()))
+        else:
+            # whole numbers, and words without escapes, are the same bytes by the JVM's function; the rest meets Python
+            found = json_text(text(), paths[0])
+            same = F.coalesce(found.rlike(SAME_BYTES) & ~text().contains("\\"), F.lit(False))
+            same = same & one_value(text()) if self.drop_misses else same
+            out = df.withColumn("_fast", F.when(same, found))
+            out = out.withColumn("_out", F.coalesce("_fast", run(F.when(F.col("_fast").isNull(), text())))).drop("_fast")
+        return out.filter("_out IS NOT NULL").withColumn("data", F.col("_out").cast("binary")).drop("_out")
+
+
+#: Values that the JVM's JSON functions give as they stand: whole numbers, and text that is no other number, object, array or null.
+SAME_BYTES = r'^(?:-?(?:0|[1-9]\d{0,17})|[A-Za-z_/][^"\\]*)$'
+#: Payloads of which an array's items may not come back as they stand: escapes, blanks, fractions, nulls, text that begins like an array.
+OTHER_BYTES = r'[\\\s]|\d[.eE]|null|"\['
 
 
 def json_extract_scalar(path: str) -> Callable[[DataFrame], DataFrame]:
@@ -118,9 +135,11 @@ class JsonArraySplit:
 
     def split(self, value: str | None) -> list[str] | None:
         """New payloads; null to keep the entry as it is."""
+        return self._split(value, split_quoted(self.extraction) if self.extraction else [], split_paths(self.additional))
+
+    def _split(self, value: str | None, keys: list[str], additional: list[list[str]]) -> list[str] | None:
         if value is None:
             return [] if self.drop_misses else None
-        keys = split_quoted(self.extraction) if self.extraction else []
         found = raw_slice(value, keys)
         if found is None or found[1] != "array":
             missing = found is None and is_json(value)
@@ -129,18 +148,31 @@ class JsonArraySplit:
             items = [i for i in raw_items(found[0]) if i is not None and i[0] != ""]
         except (ValueError, IndexError):
             return []
-        extra = [f'"{p[-1]}":{quoted_slice(s)}' for p in split_paths(self.additional) if (s := raw_slice(value, p)) is not None]
+        extra = [f'"{p[-1]}":{quoted_slice(s)}' for p in additional if (s := raw_slice(value, p)) is not None]
         if not self.force_object and not self.additional:
             return [i[0] for i in items]
         name = keys[-1] if keys else "value"
         return ["{" + ",".join([f'"{name}":{quoted_slice(i)}', *extra]) + "}" for i in items]
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        @F.pandas_udf("array<string>")
-        def run(values: pd.Series) -> pd.Series:
-            return values.map(self.split)
+        keys, additional = split_quoted(self.extraction) if self.extraction else [], split_paths(self.additional)
+        kept = F.array(F.lit(None).cast("string"))
 
-        parts = df.withColumn("_parts", run(text())).withColumn("_parts", F.coalesce("_parts", F.array(F.lit(None).cast("string"))))
+        @F.pandas_udf("array<string>")
+        def run(values: pd.Series, here: pd.Series) -> pd.Series:
+            return pd.Series([self._split(v, keys, additional) if own else None for v, own in zip(values, here, strict=True)], dtype=object)
+
+        parts = df
+        if not additional and not self.force_object:
+            # items of compact JSON are the same bytes by the JVM's functions; the rest meets Python
+            found = json_text(text(), keys) if keys else text()
+            items = F.filter(F.from_json(found, "array<string>"), lambda i: i != "")
+            same = found.startswith("[") & ~text().rlike(OTHER_BYTES) & one_value(text())
+            parts = parts.withColumn("_fast", F.when(same, items))
+        else:
+            parts = parts.withColumn("_fast", F.lit(None).cast("array<string>"))
+        slow = F.col("_fast").isNull()
+        parts = parts.withColumn("_slow", run(F.when(slow, text()), slow)).withColumn("_parts", F.coalesce("_fast", "_slow", kept)).drop("_fast", "_slow")
         return parts.withColumn("_part", F.explode("_parts")).withColumn("data", F.coalesce(F.col("_part").cast("binary"), F.col("data"))).drop("_parts", "_part")
 
 

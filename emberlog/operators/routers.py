@@ -225,6 +225,40 @@ def syslog_parts(value: Column) -> dict[str, Column]:
     return out
 
 
+_MARK = "\x01"
+
+
+def with_syslog_parts(df: DataFrame, value: Column, name: str = "_s") -> DataFrame:
+    """``df`` with a struct of the parts (see :func:`syslog_parts`), each message matched once a form.
+
+    A match is replaced by its groups between marks, and split there; values that
+    hold the mark themselves go by single groups.
+    """
+
+    def marked(p: Pattern) -> Column:
+        return F.regexp_replace(value, p.java, "".join(f"{_MARK}${p.names[n]}" for n in SYSLOG_PARTS if n in p.names))
+
+    plain = ~F.coalesce(value.contains(_MARK), F.lit(False))
+    df = df.withColumn("_new", F.when(plain, marked(_RFC5424)))
+    df = df.withColumn("_old", F.when(plain & ~F.startswith("_new", F.lit(_MARK)), marked(_RFC3164)))
+    slow = syslog_parts(value)
+
+    def struct_of(column: str, p: Pattern) -> Column:
+        names = [n for n in SYSLOG_PARTS if n in p.names]
+        parts = F.split(F.col(column), _MARK, len(names) + 1)
+        got = {n: F.get(parts, F.lit(k)) for k, n in enumerate(names, 1)}
+        # a line end after a message without text is none of its parts
+        got["Message"] = F.when(got["Message"] == "\n", slow["Message"]).otherwise(got["Message"])
+        got = {n: F.when(c == "-", "").otherwise(c) for n, c in got.items()} | {n: F.lit("") for n in ("Version", "MsgID", "StructuredData") if n not in got}
+        number = got["Priority"].cast("int")
+        got |= {"Facility": F.shiftright(number, 3).cast("string"), "Severity": number.bitwiseAND(7).cast("string")}
+        return F.struct(*(got[n].alias(n) for n in SYSLOG_PARTS))
+
+    by_group = F.struct(*(slow[n].alias(n) for n in SYSLOG_PARTS))
+    found = F.when(F.startswith("_new", F.lit(_MARK)), struct_of("_new", _RFC5424)).when(F.startswith("_old", F.lit(_MARK)), struct_of("_old", _RFC3164)).when(~plain & slow["Priority"].isNotNull(), by_group)
+    return df.withColumn(name, found).drop("_new", "_old")
+
+
 @dataclass(frozen=True)
 class SyslogRouter:
     """The tag is a template over the message's parts, forbidden characters replaced."""
@@ -237,9 +271,7 @@ class SyslogRouter:
             raise ValueError("the template names no part, or an unknown one")
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        parts = syslog_parts(text())
-        known = parts["Priority"].isNotNull()
-        tag = remap_tag(fill(self.template, parts))
-        hit = known & (tag != "")
-        df = df.filter(hit) if self.drop_misses else df
-        return df.withColumn("tag", F.when(hit, tag).otherwise(F.col("tag")))
+        df = with_syslog_parts(df, text())
+        df = df.withColumn("_tag", F.when(F.col("_s").isNotNull(), F.nullif(remap_tag(fill(self.template, {n: F.col(f"_s.{n}") for n in SYSLOG_PARTS})), F.lit(""))))
+        df = df.filter("_tag IS NOT NULL") if self.drop_misses else df
+        return df.withColumn("tag", F.coalesce("_tag", "tag")).drop("_s", "_tag")

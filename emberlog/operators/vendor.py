@@ -85,8 +85,8 @@ HEADERS = {
 def _tsv_value(value: object) -> str:
     if isinstance(value, bool):
         return "true" if value else "false"
-    if isinstance(value, (int, float)):
-        return str(int(value)) if float(value).is_integer() else f"{value:.5f}"
+    if isinstance(value, (int, float)):  # every number is a double, as JSON has it; beyond 2^53 not all are exact
+        return f"{float(value):.0f}" if float(value).is_integer() else f"{value:.5f}"
     if value is None:
         return "<nil>"
     if isinstance(value, str):
@@ -113,7 +113,8 @@ class MonitorTsv:
             table[path.strip()] = names
         return table
 
-    def convert(self, value: str | None, table: dict[str, list[str]]) -> dict | None:
+    def convert(self, value: str | None, table: dict[str, list[str]]) -> tuple[str, str, str] | None:
+        """(cells after the time, kind, the time as text) of one message."""
         at = (value or "").find("{")
         if at < 0:
             return None
@@ -121,25 +122,22 @@ class MonitorTsv:
             row = json.loads(value[at:])
             path, ts = row["_path"], row["ts"]
             columns = table[path]
-            seconds = pd.Timestamp(ts)
         except (ValueError, KeyError, TypeError):
             return None
-        micros = seconds.value if seconds.tzinfo is None else seconds.tz_convert("UTC").value
-        cells = [f"{micros / 1e9:.6f}", *(_tsv_value(row[c]) if c in row else "-" for c in columns[1:])]
-        return {"line": "\t".join(cells), "path": path, "micros": micros // 1000}
+        return "".join("\t" + (_tsv_value(row[c]) if c in row else "-") for c in columns[1:]), path, str(ts)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         table = self.headers()
 
-        @F.pandas_udf("line string, path string, micros long")
+        @F.pandas_udf("cells string, path string, ts string")
         def run(values: pd.Series) -> pd.DataFrame:
-            found = [self.convert(v, table) or {"line": None, "path": None, "micros": None} for v in values]
-            return pd.DataFrame(found, columns=["line", "path", "micros"]).astype({"micros": "Int64"})
+            return pd.DataFrame([self.convert(v, table) or (None, None, None) for v in values], columns=["cells", "path", "ts"], dtype=object)
 
-        df = df.withColumn("_t", run(text()))
-        hit = F.col("_t.line").isNotNull()
-        out = {"data": F.when(hit, F.col("_t.line").cast("binary")).otherwise(F.col("data")), "tag": F.when(hit, F.concat(F.lit(self.prefix), F.col("_t.path"))).otherwise(F.col("tag")), "ts": F.when(hit, F.timestamp_micros("_t.micros")).otherwise(F.col("ts"))}
-        return df.withColumns(out).drop("_t")
+        df = df.withColumn("_t", run(text())).withColumn("_ts", F.try_to_timestamp("_t.ts"))
+        hit, micros = F.col("_ts").isNotNull() & F.col("_t.cells").isNotNull(), F.unix_micros("_ts")
+        seconds = F.concat(F.floor(micros / 1_000_000).cast("string"), F.lit("."), F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0"))
+        out = {"data": F.when(hit, F.concat(seconds, "_t.cells").cast("binary")).otherwise(F.col("data")), "tag": F.when(hit, F.concat(F.lit(self.prefix), F.col("_t.path"))).otherwise(F.col("tag")), "ts": F.when(hit, F.col("_ts")).otherwise(F.col("ts"))}
+        return df.withColumns(out).drop("_t", "_ts")
 
 
 #: The header of a part, and the message that parts make up.

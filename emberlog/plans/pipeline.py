@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timeformats import Grinder
 from ..operators import filters, forward, rewriters, routers, timestamps, vendor
@@ -98,7 +99,8 @@ class Pipeline:
     """Stages in order; an empty pipeline passes everything.
 
     With ``tolerant`` names, a stage whose plan cannot be made is left out and
-    named in ``faults``, the entries passing as they were before it.
+    named in ``faults``, the entries passing as they were before it.  Calling a
+    pipeline makes a plan; ``run`` and ``stream`` also send to its tees.
     """
 
     def __init__(self, stages: Sequence[tuple[str, Stage]], tolerant: Iterable[str] = ()):
@@ -123,6 +125,34 @@ class Pipeline:
     def __call__(self, df: DataFrame) -> DataFrame:
         return reduce(self._apply, self.stages, df)
 
+    def run(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """The output for a batch, with every tee (a stage that has ``send``) given the entries as they are where it stands."""
+        for name, one in self.stages:
+            if hasattr(one, "send"):
+                try:
+                    one.send(df, batch)
+                except Exception as e:
+                    if name not in self.tolerant:
+                        raise
+                    self.faults[name] = str(e)
+            df = self._apply(df, (name, one))
+        return df
+
+    def stream(self, df: DataFrame, sinks: Sequence[Callable[[DataFrame, int], None]], checkpoint: str, trigger: str | None = None) -> StreamingQuery:
+        """Every micro-batch through the pipeline, its tees and then the sinks; without a trigger it takes what is there and stops."""
+
+        def each(entries: DataFrame, number: int) -> None:
+            entries.persist()
+            try:
+                out = self.run(entries, number)
+                for sink in sinks:
+                    sink(out, number)
+            finally:
+                entries.unpersist()
+
+        writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
+
     def _apply(self, df: DataFrame, named: tuple[str, Stage]) -> DataFrame:
         name, run = named
         if name not in self.tolerant:

@@ -156,13 +156,13 @@ def regex_replace_ci(spark, sf_dir):
     return _pages(spark, sf_dir).transform(rewriters.regex_replace(r"<(/?)(?P<name>p|div)>", "[$1${name}]")).select("page_id", F.md5("data").alias("digest"))
 
 
-@query("SELECT n_nationkey, CASE r_name WHEN 'ASIA' THEN 'east' WHEN 'EUROPE' THEN 'west' ELSE 'default' END AS tag FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'AFRICA'")
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'fast' WHEN '4-NOT SPECIFIED' THEN 'any' ELSE 'default' END AS tag FROM orders WHERE o_orderpriority <> '5-LOW'")
 def csv_route(spark, sf_dir):
     from ..entry import entries
 
-    rows = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    df = entries(rows, ts=F.lit("2024-01-01").cast("timestamp"), data=F.concat_ws(",", "n_name", F.concat(F.lit('  "'), "r_name", F.lit('"')), F.lit("x")), keep=["n_nationkey"])
-    return df.transform(routers.CsvRouter(1, ["ASIA:east", "EUROPE:west", "AFRICA:"])).select("n_nationkey", "tag")
+    cell = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('  "'), "o_orderpriority", F.lit('"'))).otherwise(F.col("o_orderpriority"))
+    df = entries(_table(spark, sf_dir, "orders"), ts=F.col("o_orderdate").cast("timestamp"), data=F.concat_ws(",", "o_orderstatus", cell, F.lit('"a,b"')), keep=["o_orderkey"])
+    return df.transform(routers.CsvRouter(1, ["1-URGENT:fast", "4-NOT SPECIFIED:any", "5-LOW:"])).select("o_orderkey", "tag")
 
 
 @query(f"SELECT event_id, CASE WHEN {_IP} = 167772165 THEN 'host5' WHEN {_IP} BETWEEN 167772160 AND 167772191 THEN 'low' ELSE event_type END AS tag FROM events WHERE NOT ({_IP} BETWEEN 167772224 AND 167772287)")
@@ -181,11 +181,15 @@ def tag_src_route(spark, sf_dir):
     return _events(spark, sf_dir).transform(routers.TagRouter(["click:press", "view:look:10.0.0.0/26"])).select("event_id", "tag")
 
 
-@query("SELECT event_id, 'host' || (user_id % 7) || '-' || CASE WHEN user_id % 5 = 0 THEN '' ELSE event_type || '_x' END AS tag FROM events")
+@query("SELECT event_id, 'host' || (user_id % 7) || '-' || CASE WHEN event_id % 3 = 2 THEN event_type WHEN user_id % 5 = 0 THEN '' ELSE event_type || '_x' END AS tag FROM events")
 def syslog_route(spark, sf_dir):
-    app = F.when(F.col("tag").isNotNull() & (F.pmod(ev_get("user_id").cast("bigint"), F.lit(5)) == 0), "-").otherwise(F.concat("tag", F.lit(".x")))
-    line = F.concat(F.lit("<34>1 2024-01-01T00:00:00Z host"), F.pmod(ev_get("user_id").cast("bigint"), F.lit(7)).cast("string"), F.lit(" "), app, F.lit(" 77 ID47 - "), text())
-    df = _events(spark, sf_dir).withColumn("data", line.cast("binary"))
+    """Two messages of three in the newer form, one in the older."""
+    user = ev_get("user_id").cast("bigint")
+    host = F.concat(F.lit("host"), F.pmod(user, F.lit(7)).cast("string"))
+    app = F.when(F.pmod(user, F.lit(5)) == 0, "-").otherwise(F.concat("tag", F.lit(".x")))
+    new = F.concat(F.lit("<34>1 2024-01-01T00:00:00Z "), host, F.lit(" "), app, F.lit(" 77 ID47 - "), text())
+    old = F.concat(F.lit("<13>"), F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" "), host, F.lit(" "), F.col("tag"), F.lit("[77]: "), text())
+    df = _events(spark, sf_dir).withColumn("data", F.when(F.pmod("event_id", F.lit(3)) == 2, old).otherwise(new).cast("binary"))
     return df.transform(routers.SyslogRouter("${Hostname}-${Appname}")).select("event_id", "tag")
 
 
@@ -227,10 +231,33 @@ def _grind(name: str, layout: str) -> Query:
     return run
 
 
+def _cut(micros: int) -> str:
+    return f"strftime(make_timestamp(epoch_us(ts) // {micros} * {micros}), '%Y-%m-%d %H:%M:%S.%f')"
+
+
 for _name, (_layout, _kind) in _GRIND.items():
     QUERIES[f"ts_grind_{_name.lower()}"] = _grind(_name, _layout)
     SQL[f"ts_grind_{_name.lower()}"] = f"SELECT event_id, {_SQL_TIME if _kind is None else _SQL_TIME.replace('(ts,', '(date_trunc(' + chr(39) + 'second' + chr(39) + ', ts),')} AS ts FROM events"
 
+#: Formats of other precision: layout, and the microseconds they keep.
+_GRIND_CUT = {"RFC822": ("dd MMM yy HH:mm 'UTC'", 60_000_000), "RFC822Z": ("dd MMM yy HH:mm '+0000'", 60_000_000), "UnpaddedMilliDateTime": ("yyyy-M-d HH:mm:ss.SSSSSS", 1), "UK": ("dd/MM/yyyy HH:mm:ss,SSSSS", 10), "MonthDayYear": ("M-d-yyyy H:mm:ss", 1_000_000), "Bind": ("dd-MMM-yyyy HH:mm:ss.SSS", 1000)}
+for _name, (_layout, _micros) in _GRIND_CUT.items():
+    QUERIES[f"ts_grind_{_name.lower()}"] = _grind(_name, _layout)
+    SQL[f"ts_grind_{_name.lower()}"] = f"SELECT event_id, {_cut(_micros)} AS ts FROM events"
+
+#: Lines of many formats side by side, none of them named to the grinder: layout, what goes before, and the microseconds kept; without layout, no time at all.
+_MIXED = [("MMM d HH:mm:ss yyyy", "log ", 1_000_000), ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "at=", 1), ("dd/MMM/yyyy:HH:mm:ss '+0000'", "1.2.3.4 - - [", 1_000_000), ("dd MMM yyyy HH:mm:ss 'UTC'", "", 1_000_000), ("MMM d HH:mm:ss", "<13>", 1_000_000), ("yyyy-MM-dd HH:mm:ss", "status ", 1_000_000), ("yyyy/MM/dd HH:mm:ss", "[error] ", 1_000_000), ("dd/MM/yyyy HH:mm:ss,SSSSS", "", 10), ("dd-MMM-yyyy HH:mm:ss.SSS", "", 1000), ("yyyy:MM:dd-HH:mm:ss", "", 1_000_000), ("MM/dd/yyyy hh:mm:ss a", "", 1_000_000), (None, "no time in this line", 0)]
+
+
+@query("SELECT event_id, CASE " + " ".join(f"WHEN event_id % {len(_MIXED)} = {k} THEN {_cut(cut) if layout else chr(39) + '2000-01-01 00:00:00.000000' + chr(39)}" for k, (layout, _, cut) in enumerate(_MIXED)) + " END AS ts FROM events")
+def ts_grind_all(spark, sf_dir):
+    lines = F.lit(None).cast("string")
+    for k, (layout, before, _) in enumerate(_MIXED):
+        line = F.concat(F.lit(before), F.date_format("ts", layout), F.lit(" end")) if layout else F.lit(before)
+        lines = F.when(F.pmod("event_id", F.lit(len(_MIXED))) == k, line).otherwise(lines)
+    df = _events(spark, sf_dir).withColumn("data", lines.cast("binary")).withColumn("ts", F.lit("2000-01-01").cast("timestamp"))
+    return df.transform(timestamps.time_extract(Grinder(now=F.lit("2024-12-31").cast("timestamp")))).select("event_id", _stamp())
+
 
 def _grind_number(name: str, value, sql: str) -> None:
     def run(spark, sf_dir):
@@ -353,11 +380,13 @@ def fdg_nodes(spark, sf_dir):
     return _graph(spark, sf_dir)[0].select("id", "name", "group")
 
 
-@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS ts, CAST(count(*) FILTER (event_type = 'click') AS DOUBLE) AS click, CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) AS error FROM events WHERE event_type IN ('click', 'error') GROUP BY 1")
+_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS ts, " + ", ".join(f"CAST(count(*) FILTER (event_type = '{t}') AS DOUBLE) AS {t}" for t in _TYPES) + " FROM events GROUP BY 1")
 def chart_pivot(spark, sf_dir):
-    df = _events(spark, sf_dir).filter(F.col("tag").isin("click", "error"))
-    wide = render.chart(df, F.col("tag"), F.lit(1), ["error", "click"], "1 day")
-    return wide.select(F.date_format("ts", "yyyy-MM-dd").alias("ts"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("click", "error")))
+    wide = render.chart(_events(spark, sf_dir), F.col("tag"), F.lit(1), _TYPES, "1 day")
+    return wide.select(F.date_format("ts", "yyyy-MM-dd").alias("ts"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in _TYPES))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS ts, event_type AS name, count(*) AS value FROM events GROUP BY 1, 2")
@@ -489,12 +518,11 @@ def extraction_definition(spark, sf_dir):
     return Extraction("props", "json", "k", ["error"]).apply(_events(spark, sf_dir)).select("event_id", "k")
 
 
-@query("SELECT event_type AS tag, count(*) AS n FROM events GROUP BY 1")
+@query(f"SELECT {_SQL_TIME} AS ts, event_type AS tag, {_IP} AS src, props AS data, CAST(user_id AS VARCHAR) AS user_id, CAST(2 AS BIGINT) AS n FROM events")
 def reimport_round_trip(spark, sf_dir):
     """Encoded as for export and read back, without files between."""
-    encoded = _events(spark, sf_dir).select(forward.encode_json().alias("value"))
-    back = encoded.select(F.from_json("value", "TS string, Tag string, SRC string, Data string").alias("j")).select("j.*")
-    return back.filter(F.unbase64("Data").isNotNull() & F.try_to_timestamp("TS").isNotNull()).groupBy(F.col("Tag").alias("tag")).agg(F.count("*").alias("n"))
+    back = services.exported_entries(_events(spark, sf_dir).select(forward.encode_json().alias("value")))
+    return back.select(_stamp(), "tag", ipv4_number(F.col("src")).alias("src"), text().alias("data"), ev_get("user_id").alias("user_id"), F.size("evs").cast("bigint").alias("n"))
 
 
 @query("SELECT event_id, pos - 1 AS pos, part AS data FROM (SELECT event_id, unnest(['<34>1 ' || event_type, '<13>2 ' || user_id]) AS part, unnest([1, 2]) AS pos FROM events)")
@@ -601,22 +629,34 @@ def multipart_reassembly(spark, sf_dir):
     return out.select("user_id", text().alias("data"))
 
 
-@query()
+@query("SELECT event_id, printf('%.6f', epoch_us(ts) / 1000000.0) || chr(9) || concat_ws(chr(9), 'C' || event_id, '10.0.0.1', user_id, '10.0.0.2', '443', 'tcp', '-', '0.50000', '-', 0, 'SF', 'true', '-', '-', '<nil>') || repeat(chr(9) || '-', 4) || chr(9) || '[a b]' || chr(9) || '-' AS data, 'zeekconn' AS tag FROM events")
+def monitor_conn(spark, sf_dir):
+    """Connections, whose columns are known: numbers, fractions, truth values, lists, nulls and what is missing."""
+    fields = [F.lit("conn").alias("_path"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), F.concat(F.lit("C"), "event_id").alias("uid"), F.lit("10.0.0.1").alias("id.orig_h"), ev_get("user_id").cast("bigint").alias("id.orig_p"), F.lit("10.0.0.2").alias("id.resp_h"), F.lit(443).alias("id.resp_p"), F.lit("tcp").alias("proto"), F.lit(0.5).alias("duration"), F.lit(0).alias("resp_bytes"), F.lit("SF").alias("conn_state"), F.lit(True).alias("local_orig"), F.lit(None).cast("string").alias("history"), F.array(F.lit("a"), F.lit("b")).alias("tunnel_parents")]
+    value = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return _named(_events(spark, sf_dir).withColumn("data", value.cast("binary")).transform(vendor.MonitorTsv()))
+
+
+_IDENTITY = """'{"TS":"' || strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' +00:00","Sequence":1,"ODE":"5200","Severity":"NOTICE","Class":"Passed-Authentication","Text":"Authentication succeeded","Attributes":{"UserName":"u' || user_id || ',x","Device IP Address":"10.0.0.1"}}'"""
+
+
+@query(f"SELECT event_id, event_type AS tag, {_IDENTITY} AS data FROM events")
 def identity_messages(spark, sf_dir):
     line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS +00:00"), F.lit(" 0000000001 5200 NOTICE Passed-Authentication: Authentication succeeded, UserName=u"), ev_get("user_id"), F.lit("\\,x, Step=11001, Device IP Address=10.0.0.1"))
     df = _events(spark, sf_dir).withColumn("data", line.cast("binary"))
     return _named(df.transform(vendor.IdentityFormat("json", attribute_drops=["Step=*"])))
 
 
-@query()
+@query("SELECT unnest([" + ", ".join(f"'{k}'" for k in KINDS) + "]) AS kind, CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS filled")
 def generated_kinds(spark, sf_dir):
+    """Reads nothing: a hundred entries of each kind, none empty."""
     from functools import reduce
 
-    frames = [generate(spark, 100, kind, seed=1).select("ts", "tag", "data") for kind in KINDS]
-    return reduce(lambda a, b: a.unionByName(b), frames).groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
+    frames = [generate(spark, 100, kind, seed=1).select(F.lit(kind).alias("kind"), "data") for kind in KINDS]
+    return reduce(lambda a, b: a.unionByName(b), frames).groupBy("kind").agg(F.count("*").alias("n"), F.count(F.when(F.octet_length("data") > 0, 1)).alias("filled"))
 
 
-@query()
+@query("SELECT event_id, event_type AS tag, upper(props) AS data FROM events")
 def plugin_stage(spark, sf_dir):
     def upper(batch):
         return batch.assign(data=batch["data"].map(lambda d: bytes(d).upper()))
@@ -624,10 +664,72 @@ def plugin_stage(spark, sf_dir):
     return _named(_events(spark, sf_dir).transform(forward.tolerant_plugin(upper)))
 
 
-@query()
+@query(r"SELECT tag, start, word AS text, count(*) AS n FROM (SELECT tag, word, sum(len(word) + 1) OVER (PARTITION BY event_id ORDER BY k) - len(word) - 1 AS start FROM (SELECT event_id, event_type AS tag, unnest(string_split(props, ' ')) AS word, unnest(range(len(string_split(props, ' ')))) AS k FROM events)) GROUP BY 1, 2, 3")
 def explored_words(spark, sf_dir):
     out = render.explore(_events(spark, sf_dir))
-    return out.select("tag", F.explode("elements").alias("e")).select("tag", "e.start", "e.text").groupBy("tag", "start").agg(F.count("*").alias("n"))
+    return out.select("tag", F.explode("elements").alias("e")).select("tag", "e.start", "e.text").groupBy("tag", "start", "text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id * 4 % 2048 AS id, user_id % 2 = 0 AS rtr, CAST(event_id % 9 AS BIGINT) AS length FROM events")
+def can_bus_frames(spark, sf_dir):
+    """Readers' buffers of 16 bytes as frames, and what these hold."""
+    number = F.pmod(ev_get("user_id").cast("bigint") * 4, F.lit(2048))
+    flags = F.shiftright(number, 8) * 65536 + F.when(F.pmod(ev_get("user_id").cast("bigint"), F.lit(2)) == 0, 64).otherwise(0)
+    head = F.concat(F.lpad(F.hex(number % 256), 2, "0"), F.lpad(F.hex((flags / 65536).cast("bigint")), 2, "0"), F.lit("00"), F.lpad(F.hex(flags % 65536), 2, "0"), F.lpad(F.hex(F.pmod("event_id", F.lit(9))), 2, "0"))
+    buffer = F.unhex(F.concat(head, F.lit("AAAAAA"), F.lit("0102030405060708")))
+    out = binary.can_frames(_events(spark, sf_dir), binary.can_raw(buffer))
+    return out.select("event_id", "can.id", "can.rtr", F.octet_length("can.data").cast("bigint").alias("length"))
+
+
+@query(f"SELECT c_custkey, CAST({_LAT} AS DOUBLE) AS lat, CAST({_LON} AS DOUBLE) AS long, CAST(16 AS BIGINT) AS bytes FROM customer")
+def location_codec(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", binary.location_bytes((k % 181 - 90).cast("double"), (k * 7 % 361 - 180).cast("double")).alias("raw"))
+    return rows.select("c_custkey", binary.location_of("raw").alias("l"), F.octet_length("raw").cast("bigint").alias("bytes")).select("c_custkey", "l.lat", "l.long", "bytes")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'kind' WHEN event_id % 4 = 1 THEN 'asked' WHEN event_id % 4 = 2 THEN 'by_token' ELSE 'default' END AS tag, '{\"a\":1.0,  \"b\":\"x\"}' AS data FROM events")
+def collector_routes(spark, sf_dir):
+    """Object events keep their bytes; the tag comes by source type, request and token."""
+    k = F.pmod("event_id", F.lit(4))
+    event = F.lit('{"a":1.0,  "b":"x"}')
+    body = F.concat(F.lit('{"time": 1700000000, "event": '), event, F.when(k == 0, ', "sourcetype": "s"').otherwise(""), F.lit(', "fields": {"id": "'), F.col("event_id").cast("string"), F.lit('"}}'))
+    rows = _events(spark, sf_dir).select(body.alias("b"), F.when(k.isin(0, 1), "asked").alias("t"), F.when(k == 2, "secret").alias("k"))
+    out = services.collector_events(rows, F.col("b"), tags={"s": "kind"}, token=F.col("k"), tokens={"secret": "by_token"}, tag=F.col("t"))
+    return out.select(ev_get("id").cast("bigint").alias("event_id"), "tag", text().alias("data"))
+
+
+@query(f"SELECT event_id, {_SQL_TIME} AS ts, event_type AS data, 's' || (event_id % 3) AS shard FROM events")
+def queue_records(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("event_id", F.col("ts").alias("arrived"), F.concat_ws(" ", "event_id", "tag").cast("binary").alias("body"), F.concat(F.lit("s"), F.pmod("event_id", F.lit(3))).alias("shard"))
+    out = services.queued_records(rows, F.col("body"), "queue", F.col("arrived"), attributes={"shard": F.col("shard")})
+    return out.select(F.split_part(text(), F.lit(" "), F.lit(1)).cast("bigint").alias("event_id"), _stamp(), F.split_part(text(), F.lit(" "), F.lit(2)).alias("data"), ev_get("shard").alias("shard"))
+
+
+@query(f"SELECT event_id, {_SQL_TIME} AS ts, props AS data FROM events")
+def topic_pull(spark, sf_dir):
+    one = F.struct(F.struct(F.base64("data").alias("data"), F.col("event_id").cast("string").alias("messageId"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("publishTime"), F.map_from_arrays(F.array(F.lit("id")), F.array(F.col("event_id").cast("string"))).alias("attributes")).alias("message"))
+    out = services.topic_messages(_events(spark, sf_dir).select(F.to_json(F.struct(F.array(one).alias("receivedMessages"))).alias("b")), F.col("b"), "topic")
+    return out.select(ev_get("id").cast("bigint").alias("event_id"), _stamp(), text().alias("data"))
+
+
+@query(f"SELECT event_id, {_SQL_TIME} AS ts FROM events WHERE event_id % 10 <> 0")
+def service_pages(spark, sf_dir):
+    """Every record on two pages, a tenth seen before."""
+    events = _events(spark, sf_dir)
+    one = F.struct(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created"))
+    pages = events.select(F.to_json(F.struct(F.array(one, one).alias("value"))).alias("page"))
+    out = services.service_records(pages, F.col("page"), "alerts", "value", "id", "created", seen=events.filter("event_id % 10 = 0").select("event_id"))
+    return out.select(F.get_json_object(text(), "$.id").cast("bigint").alias("event_id"), _stamp())
+
+
+@query("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'host-' || user_id END AS host FROM events")
+def lookup_stage(spark, sf_dir):
+    def resolve(keys):
+        return [f"host-{k}" if int(k) % 2 == 0 else None for k in keys]
+
+    out = _events(spark, sf_dir).transform(forward.cached_lookup(resolve, ev_get("user_id"), "host", most=50))
+    return out.select("event_id", ev_get("host").alias("host"))
 
 
 @query("SELECT event_id, user_id AS ip FROM events")
@@ -645,4 +747,4 @@ def moving_rate(spark, sf_dir):
     return agg.moving_rate(_events(spark, sf_dir), 3600).withColumn("second", F.date_format("second", "yyyy-MM-dd HH:mm:ss"))
 
 
-assert set(BUILT_IN) >= set(_GRIND)
+assert set(BUILT_IN) >= set(_GRIND) | set(_GRIND_CUT)

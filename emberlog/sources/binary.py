@@ -12,6 +12,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..entry import check_tag, entries
 from ..functions.net import to_bytes
@@ -48,6 +49,35 @@ def flow_records(packets: DataFrame) -> DataFrame:
     return rows.select("ts", F.col("_k").alias("record"), *(_number(p, at + offset, size).alias(name) for name, offset, size in FLOW_FIELDS))
 
 
+def can_frames(df: DataFrame, frame: Column) -> DataFrame:
+    """``df`` with ``can`` (id, extended, rtr, data) of a bus frame: address and flags in four bytes, length, data; null if it is cut short."""
+    at = lambda k: _number(frame, k, 1)
+    length = at(4).bitwiseAND(15)
+    extended, address = at(3).bitwiseAND(0x80) != 0, at(0) + at(1) * 256 + at(2) * 65536 + at(3) * 16777216
+    fields = [F.when(extended, address.bitwiseAND(0x1FFFFFFF)).otherwise(address.bitwiseAND(0x7FF)).alias("id"), extended.alias("extended"), (at(3).bitwiseAND(0x40) != 0).alias("rtr"), F.substring(frame, F.lit(6), F.octet_length(frame)).alias("data")]
+    whole = (F.octet_length(frame) >= 5) & (F.octet_length(frame) >= 5 + length)
+    return df.withColumn("can", F.when(whole, F.struct(*fields)))
+
+
+def can_raw(buffer: Column) -> Column:
+    """A frame as :func:`can_frames` reads it, from a reader's buffer of 16 bytes: the data moves over the three bytes before it, the rest goes; null for other sizes."""
+    length = _number(buffer, 4, 1).bitwiseAND(15).cast("int")
+    return F.when(F.octet_length(buffer) == 16, F.concat(F.substring(buffer, 1, 5), F.substring(buffer, F.lit(9), F.least(length, F.lit(8)))))
+
+
+@F.pandas_udf(T.BinaryType())
+def location_bytes(lat: pd.Series, lon: pd.Series) -> pd.Series:
+    """A place in 16 bytes: latitude and longitude as little-endian doubles."""
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else struct.pack("<dd", a, b) for a, b in zip(lat, lon, strict=True)])
+
+
+@F.pandas_udf(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("long", T.DoubleType())]))
+def location_of(raw: pd.Series) -> pd.DataFrame:
+    """The place in 16 bytes or more; nulls for fewer, or outside the globe's degrees."""
+    found = [struct.unpack("<dd", r[:16]) if r is not None and len(r) >= 16 else (None, None) for r in raw]
+    return pd.DataFrame([(a, b) if a is not None and abs(a) <= 90 and abs(b) <= 180 else (None, None) for a, b in found], columns=["lat", "long"], dtype=float)
+
+
 def ipfix_sets(packet: bytes) -> tuple[int, int, list[tuple[int, bytes]]] | None:
     """(version, domain, sets (id, bytes)) of a version 9 or 10 packet; None if it is broken."""
     if len(packet) < 16:

@@ -90,8 +90,8 @@ def octet_stream(values: pd.Series) -> pd.Series:
     return values.map(lambda v: octet_frames(bytes(v)) if v is not None else [])
 
 
-def json_objects(text: str, limit: int = 1 << 20) -> list[str]:
-    """Objects that follow one another, compacted; those beyond the limit are left out, and what is broken ends it."""
+def json_objects(text: str, limit: int = 1 << 20, compact: bool = True) -> list[str]:
+    """Objects that follow one another, compacted or as they stand; those beyond the limit are left out, and what is broken ends it."""
     out, at, decoder = [], 0, json.JSONDecoder()
     while True:
         while at < len(text) and text[at] in " \t\r\n,":
@@ -103,7 +103,7 @@ def json_objects(text: str, limit: int = 1 << 20) -> list[str]:
         except ValueError:
             return out
         if end - at <= limit:
-            out.append(json.dumps(found, separators=(",", ":"), ensure_ascii=False))
+            out.append(json.dumps(found, separators=(",", ":"), ensure_ascii=False) if compact else text[at:end])
         at = end
 
 
@@ -113,6 +113,12 @@ def json_stream(values: pd.Series) -> pd.Series:
     return values.map(lambda v: json_objects(v) if v is not None else [])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_slices(values: pd.Series) -> pd.Series:
+    """Objects of JSON streams, as they stand."""
+    return values.map(lambda v: json_objects(v, compact=False) if v is not None else [])
+
+
 def tag_by_field(value: Column, path: str, tags: dict[str, str], default: str) -> Column:
     """The tag that a JSON field's value has, else the default."""
     field = json_text(value, split_quoted(path))

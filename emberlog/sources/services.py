@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..entry import DEFAULT_TAG, check_tag, entries, ev
+from ..entry import DEFAULT_TAG, check_tag, entries, ev, remap_tag
+from ..functions.jsonpath import raw_values
 from ..functions.net import address_bytes, ipv4_binary
 from ..functions.regexes import glob_to_regex, is_glob
 from ..functions.timeformats import Grinder
-from .framing import json_stream
+from .framing import json_slices
 
 _HEC = "time string, event string, host string, source string, sourcetype string, index string, fields map<string,string>"
 
@@ -23,18 +24,65 @@ def collector_time(value: Column, now: Column) -> Column:
     return F.when(value.isNull(), now).when(n < 0, F.lit(None).cast("timestamp")).when(n < 1000, now).otherwise(F.timestamp_micros(F.round(seconds * 1e6).cast("bigint")))
 
 
-def collector_events(bodies: DataFrame, value: Column, tags: dict[str, str] | None = None, default: str = DEFAULT_TAG, now: Column | None = None) -> DataFrame:
-    """Bodies of concatenated JSON events as entries; host, source and fields are attributes, the source type chooses the tag."""
+def collector_events(
+    bodies: DataFrame, value: Column, tags: dict[str, str] | None = None, default: str = DEFAULT_TAG, now: Column | None = None, token: Column | None = None, tokens: dict[str, str] | None = None, tag: Column | None = None, sourcetype: Column | None = None
+) -> DataFrame:
+    """Bodies of concatenated JSON events as entries; host, source and fields are attributes.
+
+    The payload is a string event's text, or another's bytes as they stand.  The
+    tag is, by falling rank, that of the event's source type in ``tags``, the
+    request's ``tag``, that of its ``sourcetype``, that of its ``token`` in
+    ``tokens``, the default.  A request with a tag of forbidden characters gives none.
+    """
     now = now if now is not None else F.current_timestamp()
-    rows = bodies.select(F.explode(json_stream(value)).alias("_j")).withColumn("_e", F.from_json("_j", _HEC))
-    table = F.create_map(*(F.lit(x) for k, v in (tags or {"": default}).items() for x in (k, check_tag(v))))
+    null = F.lit(None).cast("string")
+    asked = bodies.select(value.alias("_v"), *(c.alias(n) if c is not None else null.alias(n) for n, c in (("_token", token), ("_tag", tag), ("_type", sourcetype))))
+    asked = asked.filter(F.col("_tag").isNull() | (F.col("_tag") == "") | (remap_tag(F.col("_tag")) == F.col("_tag")))
+    rows = asked.select("_token", "_tag", "_type", F.explode(json_slices(F.col("_v"))).alias("_j")).withColumn("_e", F.from_json("_j", _HEC))
+    # only what is no string needs its own bytes
+    other = F.col("_j").rlike(r'"event"\s*:\s*[^"\s]')
+    raw = F.get(raw_values(F.when(other, F.col("_j")), [["event"]]), F.lit(0))
+    rows = rows.withColumn("_raw", raw).withColumn("_data", F.when(F.col("_raw.kind") != "string", F.col("_raw.text")).otherwise(F.col("_e.event")))
+    table = lambda names: F.create_map(*(F.lit(x) for k, v in (names or {"": default}).items() for x in (k, check_tag(v))))
+    kinds = table(tags)
     base = F.array(*(ev(n, F.col(f"_e.{n}")) for n in ("host", "source")))
     fields = F.transform(F.map_entries(F.coalesce("_e.fields", F.create_map().cast("map<string,string>"))), lambda kv: F.struct(kv["key"].alias("name"), F.lit(13).cast("short").alias("type_id"), kv["value"].alias("value"), F.lit(None).cast("binary").alias("raw")))
     evs = F.filter(F.concat(base, fields), lambda e: e["value"].isNotNull())
-    out = entries(rows, ts=collector_time(F.col("_e.time"), now), data=F.col("_e.event"), tag=F.coalesce(table[F.coalesce("_e.sourcetype", F.lit(""))], F.lit(check_tag(default))), evs=evs)
+    chosen = [F.nullif(F.col("_tag"), F.lit("")), kinds[F.coalesce("_type", F.lit("\0"))], table(tokens)[F.coalesce("_token", F.lit("\0"))], F.lit(check_tag(default))]
+    out = entries(rows, ts=collector_time(F.col("_e.time"), now), data=F.col("_data"), tag=F.coalesce(kinds[F.coalesce("_e.sourcetype", F.lit(""))] if tags else null, *chosen), evs=evs)
     return out.filter("ts IS NOT NULL AND data IS NOT NULL")
 
 
+def queued_records(records: DataFrame, data: Column, tag: str, arrived: Column | None = None, grinder: Grinder | None = None, attributes: dict[str, Column] | None = None) -> DataFrame:
+    """Messages of a queue or shard as entries: the time found in them, else the service's time of arrival, else now; null attributes are left out."""
+    now = F.current_timestamp()
+    ts = F.coalesce(*([grinder.extract(data.cast("string"))] if grinder else []), *([arrived] if arrived is not None else []), now)
+    evs = F.filter(F.array(*(ev(n, c.cast("string")) for n, c in attributes.items())), lambda e: e["value"].isNotNull()) if attributes else None
+    return entries(records, ts=ts, data=data, tag=check_tag(tag), evs=evs)
+
+
+def topic_messages(bodies: DataFrame, value: Column, tag: str) -> DataFrame:
+    """A pull from a topic, as JSON: every received message's base64 data is an entry at its publish time, its attributes kept."""
+    body = F.from_json(value, "receivedMessages array<struct<message: struct<data: string, messageId: string, publishTime: string, attributes: map<string,string>>>>")
+    rows = bodies.select(F.explode(body["receivedMessages"]["message"]).alias("m"))
+    evs = F.transform(F.map_entries(F.coalesce("m.attributes", F.create_map().cast("map<string,string>"))), lambda kv: F.struct(kv["key"].alias("name"), F.lit(13).cast("short").alias("type_id"), kv["value"].alias("value"), F.lit(None).cast("binary").alias("raw")))
+    return entries(rows, ts=F.try_to_timestamp("m.publishTime"), data=F.unbase64("m.data"), tag=check_tag(tag), evs=evs).filter("ts IS NOT NULL")
+
+
+def service_records(pages: DataFrame, value: Column, tag: str, items: str, id_path: str, time_path: str, seen: DataFrame | None = None) -> DataFrame:
+    """Records of a service's pages of JSON (a list at ``items``, or the page itself) as entries: each id once, and none of ``seen`` (ids).
+
+    The time is the record's own, else now.  What a service gives twice is taken once.
+    """
+    found = value if not items else F.get_json_object(value, f"$.{items}")
+    rows = pages.select(F.explode(F.from_json(found, "array<string>")).alias("_r")).withColumn("_id", F.get_json_object("_r", f"$.{id_path}"))
+    if seen is not None:
+        rows = rows.join(seen.select(F.col(seen.columns[0]).cast("string").alias("_id")), "_id", "left_anti")
+    once = rows.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("_r").alias("_r")).select("_r").unionByName(rows.filter("_id IS NULL").select("_r"))
+    ts = F.coalesce(F.try_to_timestamp(F.get_json_object("_r", f"$.{time_path}")), F.current_timestamp())
+    return entries(once, ts=ts, data=F.col("_r"), tag=check_tag(tag))
+
+
 def delivery_records(bodies: DataFrame, value: Column, tag: str) -> DataFrame:
     """A delivery stream's batch: every record's base64 data is an entry."""
     body = F.from_json(value, "requestId string, timestamp bigint, records array<struct<data: string>>")
@@ -109,7 +157,11 @@ def reimport_csv(spark: SparkSession, path: str, shift_s: int = 0) -> DataFrame:
 
 def reimport_json(spark: SparkSession, path: str, shift_s: int = 0) -> DataFrame:
     """Exported JSON lines, with the older field names or the newer; attributes come back as strings."""
-    rows = spark.read.text(path)
+    return exported_entries(spark.read.text(path), shift_s)
+
+
+def exported_entries(rows: DataFrame, shift_s: int = 0) -> DataFrame:
+    """The same from lines in a column ``value``."""
     e = rows.select(*(F.get_json_object("value", f"$.{n}").alias(f"_{k}") for k, n in enumerate(("TS", "Timestamp", "SRC", "Src", "Tag", "Data"))), F.from_json(F.get_json_object("value", "$.Enumerated"), "array<struct<Name: string, ValueStr: string>>").alias("_evs"))
     evs = F.transform(F.coalesce("_evs", F.array().cast("array<struct<Name: string, ValueStr: string>>")), lambda x: F.struct(x["Name"].alias("name"), F.lit(13).cast("short").alias("type_id"), x["ValueStr"].alias("value"), F.lit(None).cast("binary").alias("raw")))
     return _reimported(e, F.coalesce("_0", "_1"), F.coalesce("_2", "_3"), F.col("_4"), F.unbase64("_5"), evs, shift_s)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -66,21 +67,45 @@ def write_results(df: DataFrame, path: str, format: str = "json", mode: str = "e
         raise ValueError(f"no format {format!r}")
 
 
-def bulk_export(df: DataFrame, path: str, chunk: str = "hour") -> None:
-    """gzip JSON in a folder for each chunk of time; chunks that are there already stay."""
+def bulk_export(df: DataFrame, path: str, chunk: str = "hour") -> list[str]:
+    """gzip JSON in a folder for each chunk of time; chunks that are there already stay.  The names of the new ones.
+
+    New chunks are written aside and get their names when they are whole: a
+    broken run leaves none that the next would take for done.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop_path = jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(path).getFileSystem(conf)
+
+    def chunks(folder: str) -> list[str]:
+        if not fs.exists(hadoop_path(folder)):
+            return []
+        return sorted(name for f in fs.listStatus(hadoop_path(folder)) if (name := f.getPath().getName()).startswith("chunk="))
+
     rows = df.select(F.date_format(F.date_trunc(chunk, "ts"), "yyyyMMdd'T'HHmmss").alias("chunk"), encode_json().alias("value"))
-    rows.write.mode("ignore").partitionBy("chunk").option("compression", "gzip").text(path)
+    if there := [(name.removeprefix("chunk="),) for name in chunks(path)]:  # one name for each unit of time
+        rows = rows.join(F.broadcast(spark.createDataFrame(there, "chunk string")), "chunk", "left_anti")
+    aside = f"{path}/_new-{uuid.uuid4().hex}"
+    rows.write.partitionBy("chunk").option("compression", "gzip").text(aside)
+    new = chunks(aside)
+    for name in new:
+        if not fs.rename(hadoop_path(f"{aside}/{name}"), hadoop_path(f"{path}/{name}")):
+            raise OSError(f"{path}/{name} could not be made")
+    fs.delete(hadoop_path(aside), True)
+    return [name.removeprefix("chunk=") for name in new]
 
 
 def capture_files(df: DataFrame, packets: int = 10_000) -> DataFrame:
-    """Payloads as capture files of at most ``packets`` packets: (number, content), for a client to save; a file never leaves its task's order."""
+    """Payloads as capture files of at most ``packets`` packets: (number, content), for a client to save; no number occurs twice, and a file never leaves its task's order."""
 
     def run(batches):
         import pandas as pd
+        from pyspark import TaskContext
 
         from .binary import write_pcap
 
-        number = 0
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = list(zip(batch["micros"], map(bytes, batch["data"]), strict=True))
             for at in range(0, len(rows), packets):

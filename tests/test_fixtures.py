@@ -109,6 +109,10 @@ def test_tag_router(spark):
 
 def test_syslog_router(spark):
     df = make(spark, ["<34>1 2003-10-11T22:14:15.003Z foobar su - ID47 - msg", "<34>1 2003-10-11T22:14:15.003Z barbaz - - ID47 - msg", "<13>Oct 11 22:14:15 box very.large.syslog.message.tag: hi", "<13>Oct 11 22:14:15 box foo!bar#baz: hi", "no syslog"])
+    more = make(spark, ["<34>1 t h a p m [x@1 k=\"v\"] body\x01here", "<34>1 t h a p m -\n", "<34>1 t h a p m - \n", "<13>Oct 11 22:14:15 box app[7]: hi\nthere", "<34>1 t\x01u h a p m -"] + [r.data.decode() for r in df.collect()])
+    both = routers.with_syslog_parts(more, text()).select("_s", *(c.alias(f"p_{n}") for n, c in routers.syslog_parts(text()).items())).collect()
+    for r in both:
+        assert (r._s is None) == (r.p_Priority is None) and (r._s is None or all(r._s[n] == r[f"p_{n}"] for n in routers.SYSLOG_PARTS)), r
     got = [t for _, t in tags(df.transform(routers.SyslogRouter("${Hostname}-${Appname}")))]
     assert got == ["foobar-su", "barbaz-", "box-very_large_syslog_message_tag", "box-foo_bar#baz", "default"]
     assert len(tags(df.transform(routers.SyslogRouter("${Hostname}", drop_misses=True)))) == 4
@@ -313,6 +317,42 @@ def test_forwarder_and_ring_buffer(spark, tmp_path):
     for _ in range(3):
         ring.send(df.drop("k").coalesce(1))
     assert ring.read(spark).count() == 4 and "evs" not in ring.read(spark).columns
+    assert ring.pop(spark).count() == 4
+    ring.send(df.drop("k").coalesce(1).limit(1))
+    assert ring.pop(spark).count() == 1
+
+
+def test_pipeline_sends_to_its_tees(spark, tmp_path):
+    df = make(spark, [("keep one", "t1", "10.0.0.1"), ("drop two", "t1", "10.0.0.1"), ("keep three", "t2", "10.0.0.1")]).drop("k")
+    config = parse(f'[preprocessor "all"]\nType=clusterforwarder\nTarget={tmp_path}/all\n[preprocessor "less"]\nType=regexdrop\nRegex="^drop"\n[preprocessor "rest"]\nType=persistent-buffer\nFilename={tmp_path}/rest\n[preprocessor "gone"]\nType=forwarder\nTarget=127.0.0.1:1\n')
+    out = Pipeline.from_config(config, ["all", "less", "rest"]).run(df)
+    assert out.count() == 2 and spark.read.parquet(f"{tmp_path}/all").count() == 3 and spark.read.parquet(f"{tmp_path}/rest").count() == 2
+    with pytest.raises(Exception):
+        Pipeline.from_config(config, ["gone"]).run(df)
+    tolerant = Pipeline(Pipeline.from_config(config, ["gone"]).stages, tolerant=["gone"])
+    assert tolerant.run(df).count() == 3 and "gone" in tolerant.faults
+    df.write.parquet(f"{tmp_path}/in")
+    got = []
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    q = Pipeline.from_config(config, ["less", "rest"]).stream(stream, [lambda b, n: got.append(b.count())], f"{tmp_path}/check")
+    q.awaitTermination()
+    assert sum(got) == 2 and spark.read.parquet(f"{tmp_path}/rest").count() == 4
+
+
+def test_json_bytes_as_they_stand(spark):
+    """Both ways, by the JVM and by Arrow, give what the plain rule gives."""
+    odd = ['{"a":1}', '{"a":1.0}', '{"a": "x y"}', '{"a":"q\\"z"}', '{"a":[1, 2]}', '{"a":"[1]"}', '{"a":null}', '{"a":true}', '{"a":1e5}', '{"a":"5"}', '{"a":{"b":1.50}}', '{"a":1', '{"b":2}', "no", "", "1,2", "{\"a\":1},{\"a\":2}", '{"a":1}x', '{"a":"é"}', '{"a":-7}', '{"a":1,"a":2}', '{"a":""}']
+    df = make(spark, [(t, "t", "10.0.0.1") for t in odd])
+    for drop in (False, True):
+        stage = rewriters.JsonExtract("a", drop_misses=drop)
+        want = [w for t in odd if (w := stage.extract(t)) is not None]
+        assert sorted(r.d for r in df.transform(stage).selectExpr("cast(data as string) d").collect()) == sorted(want)
+    arrays = ['{"a":[1,2]}', '{"a":[1, 2]}', '{"a":[{"b":1},{"b":"x"}]}', '{"a":["p","","q"]}', '{"a":[1.0,2]}', '{"a":"[1,2]"}', '{"a":[]}', '{"a":[null,1]}', '{"a":[[1],[2,3]]}', '{"a":3}', "{", '{"b":[1]}', '{"a":[1,2]', '{"a":[true,false]}', '{"a":["é"]}']
+    df = make(spark, [(t, "t", "10.0.0.1") for t in arrays])
+    for drop in (False, True):
+        stage = rewriters.JsonArraySplit("a", drop_misses=drop)
+        want = [x for t, w in ((t, stage.split(t)) for t in arrays) for x in ([t] if w is None else w)]
+        assert sorted(r.d for r in df.transform(stage).selectExpr("cast(data as string) d").collect()) == sorted(want)
 
 
 def test_forwarder_sends(spark):

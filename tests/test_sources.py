@@ -74,9 +74,12 @@ def test_export_and_reimport(spark, tmp_path):
     back = services.reimport_csv(spark, str(tmp_path / "csv"), shift_s=60)
     assert sorted(bytes(r.data) for r in back.collect()) == sorted(bytes(r.data) for r in df.collect())
     assert back.agg(F.min("ts")).first()[0] > df.agg(F.min("ts")).first()[0]
-    sinks.bulk_export(df, str(tmp_path / "bulk"))
-    sinks.bulk_export(df, str(tmp_path / "bulk"))
-    assert spark.read.text(str(tmp_path / "bulk")).count() == 50
+    first = sinks.bulk_export(df, str(tmp_path / "bulk"))
+    assert sinks.bulk_export(df, str(tmp_path / "bulk")) == [] and spark.read.text(str(tmp_path / "bulk")).count() == 50
+    later = df.withColumn("ts", F.col("ts") + F.expr("INTERVAL 3 DAYS"))
+    second = sinks.bulk_export(df.unionByName(later), str(tmp_path / "bulk"))
+    assert second and not set(first) & set(second) and spark.read.text(str(tmp_path / "bulk")).count() == 100
+    assert not [p for p in (tmp_path / "bulk").iterdir() if p.name.startswith("_new")]
     for form in ("text", "archive", "ipset"):
         sinks.write_results(df, str(tmp_path / form), form)
     with pytest.raises(ValueError):
@@ -263,5 +266,7 @@ def test_follow_and_paged(spark, tmp_path):
 
 def test_capture_files(spark):
     df = entry_rows(spark, 30)
+    numbers = [r.number for r in sinks.capture_files(df.repartition(3), packets=4).collect()]
+    assert len(numbers) > 3 and len(set(numbers)) == len(numbers)
     found = [p for r in sinks.capture_files(df, packets=4).collect() for p in binary.pcap_packets(bytes(r.content))]
     assert sorted(d for _, _, d in found) == sorted(bytes(r.data) for r in df.collect()) and len(found) == 30
