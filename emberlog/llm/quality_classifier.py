@@ -128,20 +128,20 @@ def _scorer(docs: DataFrame, model: SubwordModel) -> Callable[[pa.StringArray],
     def scores(texts: pa.StringArray) -> np.ndarray:
         margins, bias = shared.value
 
-        def fill(words: list[str]) -> list[tuple[float, int]]:
-            """Each word's sum of margins, and its number of features."""
+        def fill(words: list[str]) -> list[complex]:
+            """Each word's sum of margins, and its number of features: one small object for both."""
             found = [word_features(w.encode("utf-8")) for w in words]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             flat = margins[np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))]
-            return list(zip(np.add.reduceat(flat, np.r_[0, np.cumsum(counts)[:-1]]).tolist(), counts.tolist(), strict=True))
+            return (np.add.reduceat(flat, np.r_[0, np.cumsum(counts)[:-1]]) + 1j * counts).tolist()
 
         table = worker_table(("quality",), lambda: ChunkTable(fill), version)
         words = split_words(texts)
-        values = np.array(table.lookup(words.distinct.to_pylist()), float).reshape(-1, 2)
+        values = np.array(table.lookup(words.distinct.to_pylist()), complex)
         same = np.r_[words.codes[1:] == words.codes[:-1], False]
         same[words.offsets[1:] - 1] = False  # the last word of a text, and of the one before empty ones
         again = segment_sums(same.astype(np.int64), words.offsets)
-        totals, counts = words.sums(values[:, 0]) + again * margins[REPEAT], words.sums(values[:, 1]) + again
+        totals, counts = words.sums(values.real) + again * margins[REPEAT], words.sums(values.imag) + again
         return 1 / (1 + np.exp(-totals / np.maximum(counts, 1) - bias))
 
     return scores

@@ -22,7 +22,7 @@ MAX_ENTRIES = 500_000
 #: Longer chunks are looked up each time and not kept.
 MAX_KEPT = 200
 #: Bytes of text handled together; one longer text is a slice of its own.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 6_000_000
 SLICE_ROWS = 4096
 
 
@@ -110,7 +110,10 @@ def worker_table(key: tuple, make: Callable[[], object], version: str = ""):
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """Batches whose column ``at`` is text, in parts of about ``SLICE_BYTES`` of it; the rows stay as they are."""
+    """Batches whose column ``at`` is text, in parts of about ``SLICE_BYTES`` of it; the rows stay as they are.
+
+    After the last, a worker gives back the memory that Arrow keeps for later use: tasks of other operators follow in it.
+    """
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy().astype(np.int64))
         start, n = 0, batch.num_rows
@@ -119,6 +122,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.Recor
             to = min(max(start + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right"))), start + SLICE_ROWS, n)
             yield batch.slice(start, to - start)
             start = to
+    pa.default_memory_pool().release_unused()
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
