@@ -30,7 +30,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # large star: whoever hangs on a node that has a lesser neighbour moves to that neighbour
         ends = F.array(F.struct(F.col("hi").alias("_at"), F.col("lo").alias("m"), F.lit(0).alias("d")), F.struct(F.col("lo").alias("_at"), F.lit(None).cast("long").alias("m"), F.lit(1).alias("d")))
         both = edges.select(F.explode(ends).alias("e")).select("e.*").groupBy("_at").agg(F.min("m").alias("_m"), F.sum("d").alias("_d"))
-        large = weighed_join(edges, both.filter("_m IS NOT NULL AND _d > 0"), ("lo", "_at"), "_d", total, "left")
+        large = weighed_join(edges, both.filter("_d > 0"), ("lo", "_at"), "_d", total)
         large = large.select("hi", F.coalesce("_m", "lo").alias("lo"), F.col("_m").isNotNull().cast("int").alias("moved"))
         large = written(large.groupBy("hi", "lo").agg(F.max("moved").alias("moved")).coalesce(tasks), "star")
         discard(edges)
