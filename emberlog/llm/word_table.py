@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries a table holds before it starts again; bounds a worker's memory, not the result.
-MAX_ENTRIES = 500_000
+MAX_ENTRIES = 350_000
 #: Longer chunks are looked up each time and not kept.
 MAX_KEPT = 200
 #: Bytes of text handled together; one longer text is a slice of its own.
