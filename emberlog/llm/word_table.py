@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 MAX_ENTRIES = 350_000
 #: Longer chunks are looked up each time and not kept.
 MAX_KEPT = 200
+#: New chunks whose values are made in one call; bounds what a call holds meanwhile.
+FILL = 16_384
 #: Bytes of text handled together; one longer text is a slice of its own.
 SLICE_BYTES = 6_000_000
 SLICE_ROWS = 4096
@@ -90,11 +92,13 @@ class ChunkTable:
         if fresh:
             if len(self.known) + len(fresh) > self.max_entries:
                 self.known = {}
-            chunks = [distinct[k] for k in fresh]
-            for k, c, v in zip(fresh, chunks, self.fill(chunks), strict=True):
-                values[k] = v
-                if len(c) <= MAX_KEPT:
-                    self.known[c] = v
+            for at in range(0, len(fresh), FILL):
+                some = fresh[at : at + FILL]
+                chunks = [distinct[k] for k in some]
+                for k, c, v in zip(some, chunks, self.fill(chunks), strict=True):
+                    values[k] = v
+                    if len(c) <= MAX_KEPT:
+                        self.known[c] = v
         return values
 
 
