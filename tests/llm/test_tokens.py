@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from emberlog.llm import packing, piece_codec, token_counts, token_files
-from emberlog.llm.word_table import ChunkTable, JsonTokens, split_at, split_words
+from emberlog.llm.word_table import FILL, ChunkTable, JsonTokens, split_at, split_words
 
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", " ", "\n\t ", "a", " a  b ", "Ünï Straße ÉCOLE İSTANBUL ΣΑΣ", "é ́x", "don't I'LL we've", "<|endoftext|> x<|startoftext|>y <|end", "日本語 テキスト", "a\x1cb\x85c\xa0d", "🙂🙂 ok", "x" * 3000, "!!!??? ...", "1234 5a6", "▁a ▁ b▁", "<s></s><unk>", "a\0b", "tab\tnew\r\nline", "ªº ﬁ", "word.word,word!! ##x"]
@@ -257,3 +257,20 @@ def test_packing(table, library):
         if r.doc_id == ODD.index("x" * 3000):
             assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
     assert packing.pack(table.limit(0), WORD, 1).count() == 0
+
+
+def test_table_filled_in_parts():
+    """Values come in order and once, over several calls and when the table starts again."""
+    calls = []
+
+    def fill(chunks):
+        calls.append(len(chunks))
+        return [len(c) + int(c) for c in chunks]
+
+    words = [str(k) for k in range(2 * FILL + 5)]
+    table = ChunkTable(fill, max_entries=len(words))
+    want = [len(c) + int(c) for c in words]
+    assert table.lookup(words) == want and calls == [FILL, FILL, 5]
+    assert table.lookup(words[::-1]) == want[::-1] and len(calls) == 3
+    assert table.lookup([*words[:3], "9" * 300, "123456789"]) == [*want[:3], 300 + int("9" * 300), 9 + 123456789]
+    assert len(table.known) == 1  # the table started again; the long one is not kept
