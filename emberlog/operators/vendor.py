@@ -142,8 +142,9 @@ class MonitorTsv:
 
 #: The header of a part, and the message that parts make up.
 PART = Pattern(r"^(?:<\d+>)?(?P<ts>\S+\s\d+\s\d+\:\d+\:\d+)(\s[-+]?\d+:\d+)?\s(?P<host>\S+)\s(?P<cat>\S+)\s(?P<msgid>\d+)\s(?P<total>\d+)\s(?P<seq>\d+)\s(?P<body>.+)$")
-MESSAGE = r"^(?P<ts>\d+\-\d+\-\d+\s\d+\:\d+\:\d+(\.\d+)?(\s[-+]?\d+:\d+)?)\s(?P<seq>\d+)\s(?P<ode>\S+)\s(?P<sev>\S+)\s(?P<class>[^\:]+)\:\s(?P<body>.+)$"
+MESSAGE = r"^(?P<ts>\d+\-\d+\-\d+\s\d+\:\d+\:\d+(\.\d+)?(?P<zone>\s[-+]?\d+:\d+)?)\s(?P<seq>\d+)\s(?P<ode>\S+)\s(?P<sev>\S+)\s(?P<class>[^\:]+)\:\s(?P<body>.+)$"
 MAX_ID, MAX_PART = 0xFFFFFFFF, 0xFFFF
+_MARK = "\x01"
 
 
 def part_columns(value: Column) -> dict[str, Column]:
@@ -154,24 +155,42 @@ def part_columns(value: Column) -> dict[str, Column]:
     return {k: F.when(ok, v) for k, v in found.items()}
 
 
+def with_parts(df: DataFrame) -> DataFrame:
+    """``df`` with the columns of :func:`part_columns`, their names after ``_``, each payload matched once.
+
+    A match is replaced by its groups between marks and split there; the
+    generator keeps filters of these columns from matching again.  Payloads that
+    hold the mark themselves go by single groups.
+    """
+    names = ("host", "cat", "msgid", "total", "seq", "body")
+    plain = ~F.coalesce(text().contains(_MARK), F.lit(False))
+    marked = F.regexp_replace(text(), PART.java, "".join(f"{_MARK}${PART.names[n]}" for n in names) + _MARK)
+    df = df.select("*", F.explode(F.array(F.when(plain, marked))).alias("_marked"))
+    groups = F.split("_marked", _MARK, -1)
+    fast = {n: F.get(groups, F.lit(k)) for k, n in enumerate(names, 1)}
+    id_, total, seq = (fast[n].try_cast("bigint") for n in ("msgid", "total", "seq"))
+    ok = F.startswith("_marked", F.lit(_MARK)) & (id_ <= MAX_ID) & (total <= MAX_PART) & (seq <= total)
+    fast = {"host": fast["host"], "cat": fast["cat"], "id": id_, "total": total, "seq": seq, "body": fast["body"]}
+    slow = part_columns(text())
+    return df.withColumns({f"_{k}": F.when(plain, F.when(ok, v)).otherwise(slow[k]) for k, v in fast.items()}).drop("_marked")
+
+
 def split_unescaped(text: str, mark: str) -> list[str]:
-    parts, now, at = [], [], 0
-    while at < len(text):
-        if text[at] == "\\" and at + 1 < len(text):
-            now.append(text[at : at + 2])
-            at += 2
-            continue
-        if text[at] == mark:
-            parts.append("".join(now))
-            now = []
+    """``text`` parted at each ``mark`` that no backslash escapes."""
+    pieces = text.split(mark)
+    if "\\" not in text:
+        return pieces
+    out: list[str] = []
+    for piece in pieces:
+        if out and (len(out[-1]) - len(out[-1].rstrip("\\"))) % 2:
+            out[-1] += mark + piece
         else:
-            now.append(text[at])
-        at += 1
-    return [*parts, "".join(now)]
+            out.append(piece)
+    return out
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\([,\\\"'])", r"\1", text)
+    return re.sub(r"\\([,\\\"'])", r"\1", text) if "\\" in text else text
 
 
 def strip_header(key: str, value: str) -> tuple[str, str]:
@@ -195,7 +214,8 @@ class IdentityFormat:
         if self.output not in ("raw", "cef", "json"):
             raise ValueError("output is raw|cef|json")
 
-    def convert(self, value: str | None, drops: list[re.Pattern]) -> dict | None:
+    def convert(self, value: str | None, drops: list[re.Pattern]) -> tuple[str, str] | None:
+        """(the message's new form, its time with a zone) of one message."""
         m = re.match(MESSAGE, value or "", re.DOTALL)
         if not m:
             return None
@@ -209,8 +229,6 @@ class IdentityFormat:
             if self.strip_headers:
                 key, val = strip_header(key, val)
             attributes.append((unescape(key), unescape(val)))
-        ts = pd.to_datetime(m["ts"], errors="coerce", utc=True)
-        micros = None if pd.isna(ts) else ts.value // 1000
         head = fields[0]
         if self.output == "raw":
             out = value if not self.attribute_drops and not self.strip_headers else f"{m['ts']} {m['seq']} {m['ode']} {m['sev']} {m['class']}: " + ", ".join([head, *(f"{k}={v}" for k, v in attributes)])
@@ -218,20 +236,19 @@ class IdentityFormat:
             out = f"CEF:0|CISCO|ISE_DEVICE|||{m['class']}|{m['sev']}| sequence={m['seq']} ode={m['ode']} class={m['class']} text={head}" + "".join(f" {k.replace(' ', '')}={v.replace('=', chr(92) + '=')}" for k, v in attributes)
         else:
             out = json.dumps({"TS": m["ts"], "Sequence": int(m["seq"]), "ODE": m["ode"], "Severity": m["sev"], "Class": m["class"], "Text": head, "Attributes": dict(attributes)}, separators=(",", ":"), ensure_ascii=False)
-        return {"out": out, "micros": micros}
+        return out, m["ts"] + ("" if m["zone"] else " +00:00")
 
     def __call__(self, df: DataFrame) -> DataFrame:
         drops = [re.compile(glob_to_regex(g)) for g in self.attribute_drops]
 
-        @F.pandas_udf("out string, micros long")
+        @F.pandas_udf("out string, ts string")
         def run(values: pd.Series) -> pd.DataFrame:
-            found = [self.convert(v, drops) or {"out": None, "micros": None} for v in values]
-            return pd.DataFrame(found, columns=["out", "micros"]).astype({"micros": "Int64"})
+            return pd.DataFrame([self.convert(v, drops) or (None, None) for v in values], columns=["out", "ts"], dtype=object)
 
         df = df.withColumn("_m", run(text()))
         hit = F.col("_m.out").isNotNull()
         df = df if self.passthrough else df.filter(hit)
-        return df.withColumns({"data": F.when(hit, F.col("_m.out").cast("binary")).otherwise(F.col("data")), "ts": F.coalesce(F.timestamp_micros("_m.micros"), "ts")}).drop("_m")
+        return df.withColumns({"data": F.when(hit, F.col("_m.out").cast("binary")).otherwise(F.col("data")), "ts": F.coalesce(F.try_to_timestamp("_m.ts"), "ts")}).drop("_m")
 
 
 def reassemble(df: DataFrame, exact: bool = False) -> DataFrame:
@@ -242,13 +259,16 @@ def reassemble(df: DataFrame, exact: bool = False) -> DataFrame:
     repeat a number count once, the last body staying; with ``exact`` only
     complete messages come out.  Entries that are no parts pass.
     """
-    p = part_columns(text())
-    marked = df.withColumns({f"_{k}": v for k, v in p.items()})
-    parts = marked.filter("_id IS NOT NULL AND _total > 0 AND _seq < _total")
-    others = marked.filter("NOT coalesce(_id IS NOT NULL AND _total > 0 AND _seq < _total, false)").select(df.columns)
+    marked = with_parts(df)
+    is_part = "coalesce(_id IS NOT NULL AND _total > 0 AND _seq < _total, false)"
+    parts, others = marked.filter(is_part), marked.filter(f"NOT {is_part}").select(df.columns)
     when = F.struct("ts", "nsec_rem", "_seq")
-    latest = parts.groupBy("_host", "_cat", "_id", "_seq").agg(F.max_by("_body", when).alias("body"), F.min(when).alias("came"), F.max("_total").alias("total"), F.min_by(F.struct(*df.columns), when).alias("e"))
-    whole = latest.groupBy("_host", "_cat", "_id").agg(F.array_sort(F.collect_list(F.struct("_seq", "body"))).alias("bodies"), F.min_by("e", "came").alias("e"), F.max("total").alias("total"))
-    whole = whole.filter(F.size("bodies") == F.col("total")) if exact else whole
-    joined = F.array_join(F.transform("bodies", lambda b: b["body"]), "")
+    came = F.struct("_seq", F.struct("ts", "nsec_rem").alias("when"), "_body")
+    envelope = [c for c in df.columns if c != "data"]
+    whole = parts.groupBy("_host", "_cat", "_id").agg(F.array_sort(F.collect_list(came)).alias("all"), F.min_by(F.struct(*envelope), when).alias("e"), F.max("_total").alias("total"))
+    # of parts that repeat a number, the last in order stays
+    last = F.filter("all", lambda part, at: (at + 1 == F.size("all")) | (F.get("all", at + 1)["_seq"] != part["_seq"]))
+    whole = whole.withColumn("all", last)
+    whole = whole.filter(F.size("all") == F.col("total")) if exact else whole
+    joined = F.array_join(F.transform("all", lambda part: part["_body"]), "")
     return whole.select(*(joined.cast("binary").alias(c) if c == "data" else F.col(f"e.{c}").alias(c) for c in df.columns)).unionByName(others)

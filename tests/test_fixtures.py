@@ -247,6 +247,37 @@ def test_reassembly(spark):
     assert sorted(r.d for r in vendor.reassemble(df, exact=True).select(text().alias("d")).collect()) == sorted(["body0;body1;body2;", "plain", rows[5]])
 
 
+def test_parts_are_matched_alike(spark):
+    """Once with marks or group by group: the same columns, for line ends, marks in payloads, zones and numbers out of range."""
+    line = "<181>Oct 10 10:10:10 {}host CAT 7 3 {} body{}"
+    rows = [line.format("", 0, ""), line.format("+1:00 ", 1, " x\n"), line.format("", 2, "\x01y\x01"), line.format("\x01", 2, ""), line.format("12:30 ", 0, "a\nb"), line.format("", 4, ""), line.format("", 99999999999999999999, ""), "Oct 10 10:10:10 h c 5000000000 1 0 b", "", "plain"]
+    df = make(spark, rows)
+    names = ("host", "cat", "id", "total", "seq", "body")
+    want = df.select("k", *(c.alias(n) for n, c in vendor.part_columns(text()).items()))
+    got = vendor.with_parts(df).select("k", *(F.col(f"_{n}").alias(n) for n in names))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.filter("id IS NOT NULL").count() >= 4
+
+
+def test_repeated_parts(spark):
+    line = "Oct 10 10:10:10 host CAT 7 2 {} {}"
+    df = make(spark, [line.format(0, "old"), line.format(1, "-b"), line.format(0, "new")]).drop("k")
+    df = df.withColumn("ts", F.when(text().endswith("new"), F.timestamp_seconds(F.lit(20))).otherwise(F.timestamp_seconds(F.lit(10))))
+    got = vendor.reassemble(df, exact=True).select(text().alias("d"), F.unix_seconds("ts").alias("s")).collect()
+    assert [tuple(r) for r in got] == [("new-b", 10)]
+
+
+def test_split_unescaped():
+    for value in ("", "a", ",", "a,b", r"a\,b", r"a\\,b", r"a\\\,b,", "a\\", r"\,\,,", "\\,"):
+        parts, now, escaped = [], "", False
+        for c in value:
+            if c == "," and not escaped:
+                parts, now = [*parts, now], ""
+            else:
+                now += c
+            escaped = c == "\\" and not escaped
+        assert vendor.split_unescaped(value, ",") == [*parts, now], value
+
+
 def test_tags_codecs_and_addresses():
     assert tag_error("foo_bar#baz") is None and check_tag(" ok-1@? ") == "ok-1@?"
     for bad in ("", "a b", "a.b", "a/b", "x!y", "a’b", "a\tb", "a" * 5000):
