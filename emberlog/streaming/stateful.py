@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..entry import text
-from ..operators.vendor import part_columns
+from ..operators.vendor import with_parts
 from ..sources.binary import attach_templates, ipfix_sets
 
 MAX_BYTES = 8 << 20
@@ -49,18 +48,57 @@ class Parts:
 
 
 _STATE = "micros long, tag string, src binary, total long, count long, size long, seqs array<long>, bodies array<string>"
+_SHARD = "messages array<struct<" + ", ".join(f.replace(" ", ": ", 1) for f in f"host string, cat string, id long, last long, {_STATE}".split(", ")) + ">>"
 _OUT = "micros long, tag string, src binary, body string, complete boolean"
 
 
-def reassemble_stream(df: DataFrame, counting: bool = False, latency_ms: int = LATENCY_MS, max_bytes: int = MAX_BYTES) -> DataFrame:
+class Shard:
+    """Parts of many messages, the one longest without a part first."""
+
+    def __init__(self, rows: list = ()):
+        self.held: dict[tuple, tuple[int, Parts]] = {tuple(r[:3]): (r[3], Parts(tuple(r[4:]))) for r in rows}
+        self.size = sum(p.size for _, p in self.held.values())
+
+    def add(self, key: tuple, now: int, *part) -> Parts:
+        """The message after one more part, now the last to go."""
+        _, parts = self.held.pop(key, (now, Parts()))
+        self.size -= parts.size
+        parts.add(*part)
+        self.size += parts.size
+        self.held[key] = now, parts
+        return parts
+
+    def take(self, key: tuple) -> Parts:
+        _, parts = self.held.pop(key)
+        self.size -= parts.size
+        return parts
+
+    def evicted(self, before: int, most: int) -> Iterator[Parts]:
+        """What got its last part before a time, and then the oldest until ``most`` bytes are left."""
+        while self.held:
+            key, (last, _) = next(iter(self.held.items()))
+            if last > before and self.size <= most:
+                break
+            yield self.take(key)
+
+    def rows(self) -> list[tuple]:
+        return [(*key, last, *parts.row()) for key, (last, parts) in self.held.items()]
+
+
+def reassemble_stream(df: DataFrame, counting: bool = False, latency_ms: int = LATENCY_MS, max_bytes: int = MAX_BYTES, max_total: int | None = None, shards: int = 64) -> DataFrame:
     """Multipart messages as they complete: (ts, tag, src, data, complete).
 
     State is kept by (host, category, id), so keys spread over the cluster; a
     message that gets no part for ``latency_ms`` of processing time, or outgrows
-    ``max_bytes``, leaves as far as it came.
+    ``max_bytes``, leaves as far as it came.  With ``max_total`` all messages
+    together hold no more bytes: they lie in ``shards`` by their keys, each with
+    its share of the limit, and those longest without a part leave first.
+
+    Time-outs make batches without data, so an ``availableNow`` query ends only
+    with ``spark.sql.streaming.noDataMicroBatches.enabled`` false.
     """
-    p = part_columns(text())
-    parts = df.select(F.unix_micros("ts").alias("micros"), "tag", "src", *(c.alias(k) for k, c in p.items())).filter("id IS NOT NULL AND total > 0 AND seq < total")
+    names = ("host", "cat", "id", "total", "seq", "body")
+    parts = with_parts(df).select(F.unix_micros("ts").alias("micros"), "tag", "src", *(F.col(f"_{n}").alias(n) for n in names)).filter("id IS NOT NULL AND total > 0 AND seq < total")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = Parts(state.get if state.exists else None)
@@ -82,7 +120,28 @@ def reassemble_stream(df: DataFrame, counting: bool = False, latency_ms: int = L
                 state.remove()
         yield pd.DataFrame(out, columns=["micros", "tag", "src", "body", "complete"])
 
-    found = parts.groupBy("host", "cat", "id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def step_shard(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        shard, now, left = Shard(state.get[0] if state.exists else ()), state.getCurrentProcessingTimeMs(), []
+        for batch in () if state.hasTimedOut else batches:
+            for r in batch.sort_values(["micros", "seq"], kind="stable").itertuples(index=False):
+                which = (r.host, r.cat, r.id)
+                held = shard.add(which, now, r.micros, r.tag, r.src, r.total, r.seq, r.body)
+                if held.complete(counting) or held.size > max_bytes:
+                    left.append(shard.take(which))
+                left += shard.evicted(now - latency_ms, max_total // shards)
+        left += shard.evicted(now - latency_ms, max_total // shards)
+        if shard.held:
+            state.update((shard.rows(),))
+            state.setTimeoutDuration(latency_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(p.micros, p.tag, p.src, p.joined(), p.complete(counting)) for p in left], columns=["micros", "tag", "src", "body", "complete"])
+
+    if max_total is None:
+        keyed, run, kept = parts.groupBy("host", "cat", "id"), step, _STATE
+    else:
+        keyed, run, kept = parts.withColumn("shard", F.pmod(F.xxhash64("host", "cat", "id"), F.lit(shards))).groupBy("shard"), step_shard, _SHARD
+    found = keyed.applyInPandasWithState(run, _OUT, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
     return found.select(F.timestamp_micros("micros").alias("ts"), "tag", "src", F.col("body").cast("binary").alias("data"), "complete")
 
 

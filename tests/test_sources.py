@@ -14,7 +14,7 @@ from emberlog.functions.timeformats import Grinder
 from emberlog.plans.search import Engine
 from emberlog.sources import binary, framing, services, sinks
 from emberlog.sources.generate import KINDS, generate
-from emberlog.streaming.stateful import Parts, TokenBucket, reassemble_stream, sessions, throttled
+from emberlog.streaming.stateful import Parts, Shard, TokenBucket, reassemble_stream, sessions, throttled
 
 
 def strings(df, column="data"):
@@ -191,7 +191,16 @@ def test_reassembly_state():
     assert one.complete(False) and not one.complete(True)
 
 
-def test_reassembly_stream_equals_batch(spark, tmp_path):
+@pytest.fixture
+def no_empty_batches(spark):
+    """Time-outs would keep a query of what is there running for ever."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+@pytest.mark.parametrize("limit", [None, 1 << 20])
+def test_reassembly_stream_equals_batch(spark, tmp_path, no_empty_batches, limit):
     from emberlog.operators.vendor import reassemble
 
     lines = [f"Oct 10 10:10:10 h CAT {i} 3 {s} b{i}{s};" for s in (2, 0, 1) for i in range(20)]
@@ -199,12 +208,25 @@ def test_reassembly_stream_equals_batch(spark, tmp_path):
     rows = entries(df, ts=F.timestamp_micros("k"), data=F.col("v"), tag="ise")
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
-    q = reassemble_stream(source).writeStream.format("memory").queryName("parts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    got = spark.table("parts")
+    found, name = reassemble_stream(source, latency_ms=600_000, max_total=limit, shards=4), f"parts_{limit}"
+    q = found.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = spark.table(name)
     assert strings(got) == strings(reassemble(rows)) and got.filter("complete").count() == 20
 
 
+def test_oldest_messages_leave_first():
+    shard = Shard()
+    for now, key in ((1, "a"), (2, "b"), (3, "c"), (4, "a")):
+        shard.add((key, "CAT", 1), now, now, "t", None, 3, now // 3, key * 10)
+    assert shard.size == 40 and not list(shard.evicted(0, 40))
+    again = Shard(shard.rows())
+    assert again.size == 40 and again.rows() == shard.rows()
+    assert [p.joined() for p in again.evicted(0, 25)] == ["b" * 10, "c" * 10] and again.size == 20
+    assert [p.joined() for p in shard.evicted(2, 40)] == ["b" * 10]
+    assert shard.take(("c", "CAT", 1)).size == 10 and [p.joined() for p in shard.evicted(9, 40)] == ["a" * 20] and shard.size == 0
+
+
 def test_stream_to_table_and_tees(spark, tmp_path):
     entry_rows(spark).write.parquet(str(tmp_path / "in"))
     schema = spark.read.parquet(str(tmp_path / "in")).schema
