@@ -204,7 +204,7 @@ def deltas(df: DataFrame, keys: Sequence[str], counters: Sequence[str]) -> DataF
     return df.withColumns({c: F.col(c) - F.lag(c).over(w) for c in counters}).filter(F.col(counters[0]).isNotNull())
 
 
-def events_as_entries(events: DataFrame) -> DataFrame:
-    """The ``events`` table as entries: an address made of the user's number, the type as tag, the properties as payload."""
+def events_as_entries(events: DataFrame, keep: Sequence[str] = ("event_id",)) -> DataFrame:
+    """The ``events`` table as entries: an address made of the last 24 bits of the user's number, the type as tag, the properties as payload."""
     evs = F.array(ev("user_id", F.col("user_id"), "int64"), ev("value", F.col("value"), "float64"))
-    return entries(events, ts=F.col("ts"), data=F.col("props"), tag=F.col("event_type"), src=ipv4_binary(F.lit(10 << 24) + F.pmod("user_id", F.lit(1 << 24))), evs=evs, keep=["event_id"])
+    return entries(events, ts=F.col("ts"), data=F.col("props"), tag=F.col("event_type"), src=ipv4_binary(F.lit(10 << 24) + F.pmod("user_id", F.lit(1 << 24))), evs=evs, keep=keep)
